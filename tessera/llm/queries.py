@@ -55,6 +55,12 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "kept")
+
+
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfiles import round_trip
 
@@ -71,6 +77,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_secret_scans, op9_token_id_files, op10_toxicity)
+    for f in (op1_substring_dedup, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_jaccard_join, op9_token_id_files, op10_toxicity)
 }
 SQL: dict[str, str] = {}
