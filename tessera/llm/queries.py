@@ -33,6 +33,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import link_embeddings
+
+    return link_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfiles import token_counts
 
@@ -77,6 +83,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_jaccard_join, op9_token_id_files, op10_toxicity)
+    for f in (op1_substring_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_jaccard_join, op9_token_id_files, op10_toxicity)
 }
 SQL: dict[str, str] = {}
