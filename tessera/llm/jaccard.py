@@ -353,11 +353,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "t
 
     Of rows that repeat that doc_id and its text one stays. Texts without a word all stay.
     """
+    key, digest, own = "__tessera_key", "__tessera_hash", "__tessera_own"
     joined = jaccard_join(docs, threshold, text=text, doc_id=doc_id)
     # a doc_id may carry two texts of one class: of these the smaller hash stays
     some = joined.where("kept").groupBy("doc_id", "class_id").agg(F.min("text_hash").alias("h"))
-    keep = stored(some.select(F.col("doc_id").alias("_k"), F.col("h").alias("_h")).distinct(), "kept")
-    hashed = docs.withColumn("_own", F.unhex(F.md5(F.col(text))))
+    keep = stored(some.select(F.col("doc_id").alias(key), F.col("h").alias(digest)).distinct(), "kept")
+    hashed = docs.withColumn(own, F.unhex(F.md5(F.col(text))))
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    matched = hashed.where(worded).join(keep, (F.col("_own") == F.col("_h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_k")), "left_semi")
-    return matched.dropDuplicates([doc_id, "_own"]).drop("_own").unionByName(hashed.where(~worded).drop("_own"))
+    matched = hashed.where(worded).join(keep, (F.col(own) == F.col(digest)) & F.col(doc_id).cast("long").eqNullSafe(F.col(key)), "left_semi")
+    return matched.dropDuplicates([doc_id, own]).drop(own).unionByName(hashed.where(~worded).drop(own))

@@ -61,6 +61,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bytepair import encode_digests
+
+    return encode_digests(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_join
 
@@ -83,6 +91,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_jaccard_join, op9_token_id_files, op10_toxicity)
+    for f in (op1_substring_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_counts, op5_quality_rules, op6_secret_scans, op7_byte_bpe, op8_jaccard_join, op9_token_id_files, op10_toxicity)
 }
 SQL: dict[str, str] = {}

@@ -77,17 +77,20 @@ def dedup_substrings(docs: DataFrame, unit: str = "line", min_words: int = 4, te
 
     Offsets are code points of the original text. A document whose units are all unique, and one with a null or empty
     text, is returned as it was, with an empty _removed. Units of fewer than min_words words are never removed. An
-    empty table gives an empty table; other columns stay as they are.
+    empty table gives an empty table; other columns stay as they are, but for one named _removed, which is replaced, and
+    names that begin with __tessera, which are reserved.
     """
-    gone = repeated_spans(docs, unit, min_words, text, doc_id).select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"), F.col("spans").alias("_removed"))
-    hashed = docs.withColumn("_own", F.unhex(F.md5(F.col(text))))
-    both = hashed.join(gone, (hashed["_own"] == gone["_h"]) & hashed[doc_id].cast("long").eqNullSafe(gone["_k"]), "left")
+    key, digest, own = "__tessera_key", "__tessera_hash", "__tessera_own"
+    gone = repeated_spans(docs, unit, min_words, text, doc_id).select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("spans").alias("_removed"))
+    hashed = docs.drop("_removed").withColumn(own, F.unhex(F.md5(F.col(text))))
+    both = hashed.join(gone, (F.col(own) == F.col(digest)) & F.col(doc_id).cast("long").eqNullSafe(F.col(key)), "left")
     removed = F.coalesce("_removed", F.array().cast("array<struct<start:int,end:int>>"))
     # what lies between the removed spans, then what follows the last of them
     n = F.char_length(text)
     starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda s: s["end"]))
     ends = F.concat(F.transform(removed, lambda s: s["start"]), F.array(n))
     rest = F.array_join(F.zip_with(starts, ends, lambda a, z: F.substring(F.col(text), a + 1, F.greatest(z - a, F.lit(0)))), "")
-    rest = F.when(F.element_at(removed, -1)["end"] == n, F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
+    # a text whose last unit goes loses the separator before it too
+    rest = F.when(F.try_element_at(removed, F.lit(-1))["end"] == n, F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
     cut = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(rest)
-    return both.withColumns({text: cut, "_removed": removed}).drop("_own", "_k", "_h")
+    return both.withColumns({text: cut, "_removed": removed}).drop(own, key, digest)

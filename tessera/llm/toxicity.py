@@ -166,6 +166,19 @@ def severity(docs: DataFrame, model: Severity, threshold: float = 0.5, text: str
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
+def drop_toxic(docs: DataFrame, model: Severity, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """docs without the rows that severity() calls toxic; columns stay as they are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            p = (model.above(model.score(x)) for x in b.column(b.schema.get_field_index(text)).to_pylist())
+            yield b.filter(pa.array([not (len(x) and x[0] >= threshold) for x in p], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """(doc_id, grade) of the labels table: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
     toxic = F.col("toxic").cast("int") > 0
