@@ -91,7 +91,8 @@ def scan_separators(spark: SparkSession, folder: str, files: DataFrame, end_id:
 
     step = F.lit(block_tokens * wide)
     blocks = files.select("file").distinct().mapInArrow(sizes, "file string, bytes long").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("bytes", F.lit(1)) - 1) / step))).alias("block"))
-    found = stored(blocks.repartition("file", "block").mapInArrow(search, "file string, block long, tokens long, ends array<long>"), "blocks")
+    blocks = stored(blocks, "block-list")
+    found = stored(blocks.repartition(max(1, blocks.count()), "file", "block").mapInArrow(search, "file string, block long, tokens long, ends array<long>"), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last")).select(
         "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.last("last", True).over(before), F.lit(-1)).alias("last0")
@@ -271,7 +272,7 @@ def read_ranked(files: DataFrame, folder: str) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return placed.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, files.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_size(path: str) -> int:

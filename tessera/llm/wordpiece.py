@@ -22,13 +22,13 @@ _SPACE = "\x09-\x0d\x20\x85\xa0"
 _PLAIN = re.compile(f"[{re.escape(_SAFE)}]*")
 _WORDS = re.compile(f"[{_OF['L']}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_OF['N']}]|[^{_SPACE}{_OF['L']}{_OF['N']}]+|\n")
 #: Characters of text that are worked on at once.
-SLICE = 6_000_000
+SLICE = 16_000_000
 
 
 class WordCoder:
     """Keeps the ids of up to `words` words."""
 
-    def __init__(self, path: str, dtype: str = "<u4", words: int = 400_000):
+    def __init__(self, path: str, dtype: str = "<u4", words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,32 +55,29 @@ class WordCoder:
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces without ASCII white space."""
-        out: list[bytes] = [b""] * len(pieces)
-        plain = []
-        for i, x in enumerate(pieces):
-            if _PLAIN.fullmatch(x) and "<|" not in x:
-                plain.append(i)
-            else:
-                out[i] = self._whole(x)
-        words = _WORDS.findall("\n".join([pieces[i] for i in plain]).lower())
-        new = set(words).difference(self.kept, "\n")
+        joined = "\n".join(pieces)
+        if not _PLAIN.fullmatch(joined) or "<|" in joined:
+            plain = [bool(_PLAIN.fullmatch(x)) and "<|" not in x for x in pieces]
+            if not all(plain):
+                own = iter(self.pieces([x for x, p in zip(pieces, plain, strict=True) if p]))
+                return [next(own) if p else self._whole(x) for x, p in zip(pieces, plain, strict=True)]
+        if not pieces:
+            return []
+        words = _WORDS.findall(joined.lower())
+        distinct = set(words)
+        distinct.discard("\n")
+        new = distinct.difference(self.kept)
         if len(self.kept) + len(new) > self.most:
             self.kept.clear()
-            new = set(words).difference("\n")
+            new = distinct
         self._words(list(new))
-        got, k = self.kept, 0
-        got["\n"] = b"\n"
-        one: list[bytes] = []
-        for w in words:
-            if w == "\n":
-                out[plain[k]] = b"".join(one)
-                one, k = [], k + 1
-            else:
-                one.append(got[w])
-        if plain:
-            out[plain[k]] = b"".join(one)
-        del got["\n"]
-        return out
+        self.kept["\n"] = b""
+        coded = list(map(self.kept.__getitem__, words))
+        del self.kept["\n"]
+        ends = np.cumsum(np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)))
+        cuts = [int(e) for e in ends[[i for i, w in enumerate(words) if w == "\n"]]] if len(pieces) > 1 else []
+        raw = b"".join(coded)
+        return list(map(raw.__getitem__, map(slice, [0, *cuts], [*cuts, len(raw)])))
 
     def _slice(self, texts) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow.compute as pc
@@ -88,14 +85,12 @@ class WordCoder:
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = parts.flatten().dictionary_encode()
         blobs = self.pieces(coded.dictionary.to_pylist())
-        wide = self.dtype.itemsize
-        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // wide
-        flat = np.frombuffer(b"".join(blobs), dtype=self.dtype)
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // self.dtype.itemsize
         index = coded.indices.to_numpy(zero_copy_only=False)
-        each = size[index]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(start[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        step = 400_000
+        raw = b"".join([b"".join(map(blobs.__getitem__, index[i : i + step].tolist())) for i in range(0, len(index), step)])
+        ids = np.frombuffer(raw, dtype=self.dtype)
+        ends = np.cumsum(size[index])
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         return ids, np.diff(np.concatenate([[0], ends])[offsets])
 
