@@ -42,7 +42,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfiles import token_counts
 
-    return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=49407)
+    return token_counts(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

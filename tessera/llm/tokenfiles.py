@@ -92,7 +92,8 @@ def scan_separators(spark: SparkSession, folder: str, files: DataFrame, end_id:
     step = F.lit(block_tokens * wide)
     blocks = files.select("file").distinct().mapInArrow(sizes, "file string, bytes long").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("bytes", F.lit(1)) - 1) / step))).alias("block"))
     blocks = stored(blocks, "block-list")
-    found = stored(blocks.repartition(max(1, blocks.count()), "file", "block").mapInArrow(search, "file string, block long, tokens long, ends array<long>"), "blocks")
+    n = blocks.count()
+    found = stored(blocks.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism + n // 16)), "file", "block").mapInArrow(search, "file string, block long, tokens long, ends array<long>"), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last")).select(
         "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.last("last", True).over(before), F.lit(-1)).alias("last0")
@@ -113,8 +114,12 @@ def scan_separators(spark: SparkSession, folder: str, files: DataFrame, end_id:
     return whole.union(tail)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2", block_tokens: int = 4_194_304) -> DataFrame:
-    """(doc_id, n_tokens): writes docs to flat files, then counts by scanning these alone."""
+def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None = None, dtype: str = "<u2", block_tokens: int = 4_194_304) -> DataFrame:
+    """(doc_id, n_tokens): writes docs to flat files, then counts by scanning these alone.
+
+    end_id is by default the first id that the tokenizer leaves free, as a special token's name may stand in a text.
+    """
+    end_id = tokenizer_size(tokenizer) if end_id is None else end_id
     side = write_flat(docs, tokenizer, end_id, dtype)
     counts = scan_separators(docs.sparkSession, side._tessera_folder, side, end_id, dtype, block_tokens)
     return side.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
