@@ -130,6 +130,7 @@ def _prefixes(depth: int) -> Callable:
 def groups(batches, keys: tuple[str, ...]):
     """Yields batches that hold whole groups of rows sorted by keys; a group never spans two of them."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     held: list = []
     for b in batches:
@@ -140,7 +141,7 @@ def groups(batches, keys: tuple[str, ...]):
         tail = [b.column(k)[last] for k in keys]
         same = np.ones(b.num_rows, dtype=bool)
         for k, v in zip(keys, tail, strict=True):
-            same &= np.asarray(pa.compute.equal(b.column(k), v).to_numpy(zero_copy_only=False))
+            same &= np.asarray(pc.equal(b.column(k), v).to_numpy(zero_copy_only=False))
         other = np.flatnonzero(~same)
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
