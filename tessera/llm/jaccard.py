@@ -317,14 +317,15 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999,
     while True:
         nodes = stored(reps.select("sig", "text_hash").mapInArrow(_prefixes(depth), "key long, text_hash binary"), "nodes")
         full = stored(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")
-        near = nodes.join(full, "key").join(reps.select("text_hash", "sketch"), "text_hash")
+        # merge joins, so that the plan is the same at every size
+        near = nodes.join(full.hint("merge"), "key").join(reps.select("text_hash", "sketch").hint("merge"), "text_hash")
         edges = stored(_blocked(near, "key", BLOCK).select("key", "i", "j", "block", "text_hash", "sketch").mapInArrow(_alike(least), "a binary, b binary").distinct(), "candidates")
         drop(nodes, full)
         parts = stored(components(edges), "candidate-parts")
         sized = parts.groupBy("root").agg(F.count("*").alias("n"))
         wanted = stored(parts.join(sized, "root").select("root", "n", F.col("node").alias("text_hash")).join(reps.select("text_hash", "rep"), "text_hash"), "wanted")
         texts = own.withColumn("own", F.unhex(F.md5("text")))
-        chosen = texts.join(wanted, (texts["own"] == wanted["text_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("root", "n", "text_hash", "text")
+        chosen = texts.join(wanted.hint("merge"), (texts["own"] == wanted["text_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("root", "n", "text_hash", "text")
         sets = chosen.mapInArrow(_sets, "root binary, n long, text_hash binary, shingles binary").dropDuplicates(["text_hash"])
         ready = _blocked(sets, "root", SET_BLOCK).select("root", "i", "j", "block", "text_hash", "shingles")
         found = stored(ready.mapInArrow(_verified(per_mille, depth), "text_hash binary, to binary, links long, weight double"), "links")
