@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.formats import js_number_from_text
+from ..functions.formats import js_number_from_text, js_number_text
 from ..plans.compiler import UnsupportedSchema
 from .validate import ERRORS, Compiled
 
@@ -89,6 +89,11 @@ def coercion_plan(schema: dict) -> dict[str, str]:
     return plan
 
 
+def _once(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _quoted(c: Column) -> Column:
     """A text as JSON."""
     return F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
@@ -96,13 +101,10 @@ def _quoted(c: Column) -> Column:
 
 def coerced_primitive(raw: Column, kind: str) -> Column:
     """The JSON text of a coerced string: only true and false are booleans, only finite numbers are numbers."""
-    quoted = _quoted(raw)
     if kind == "boolean":
-        return F.when(raw.isin("true", "false"), raw).otherwise(quoted)
-    from ..functions.formats import js_number_text
-
-    n = js_number_from_text(raw)
-    return F.when((F.trim(raw) != "") & n.isNotNull() & (F.abs(n) < float("inf")), js_number_text(n)).otherwise(quoted)
+        return _once(raw, lambda r: F.when(r.isin("true", "false"), r).otherwise(_quoted(r)))
+    number = lambda r: _once(js_number_from_text(r), lambda n: F.when((F.trim(r) != "") & n.isNotNull() & (F.abs(n) < float("inf")), js_number_text(n)).otherwise(_quoted(r)))
+    return _once(raw, number)
 
 
 def query_pairs(query: Column) -> Column:
