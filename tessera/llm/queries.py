@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .sql import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,4 +94,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_counts, op5_quality_rules, op6_secret_scans, op7_byte_bpe, op8_jaccard_join, op9_token_id_files, op10_toxicity)
 }
-SQL: dict[str, str] = {}
