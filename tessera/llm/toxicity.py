@@ -115,7 +115,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, most: int = 8192, l1: float
     return Severity(numbers[some], w[some], full)
 
 
-def train(docs: DataFrame, grades: DataFrame, most_rows: int = 6000, text: str = "text", doc_id: str = "doc_id") -> Severity:
+def train(docs: DataFrame, grades: DataFrame, most_rows: int = 10_000, text: str = "text", doc_id: str = "doc_id") -> Severity:
     """Fits on at most most_rows labelled documents, those with the smallest hash of doc_id.
 
     grades: (doc_id, grade); rows with a null in either are left out, and of several grades for a doc_id the highest
@@ -144,7 +144,7 @@ def train(docs: DataFrame, grades: DataFrame, most_rows: int = 6000, text: str =
     return fit([rows[i] for i in order], grade[order].astype(np.int64))
 
 
-def severity(docs: DataFrame, model: Severity, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def severity(docs: DataFrame, model: Severity, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, severity double, grade int, toxic boolean): expected severity, the likeliest count of passed thresholds,
     and whether P(grade > 0) reaches the threshold.
 
@@ -166,7 +166,7 @@ def severity(docs: DataFrame, model: Severity, threshold: float = 0.5, text: str
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, model: Severity, threshold: float = 0.5, text: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Severity, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs without the rows that severity() calls toxic; columns stay as they are."""
 
     def run(batches):
