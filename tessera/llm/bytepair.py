@@ -13,6 +13,7 @@ import base64
 import hashlib
 import heapq
 import json
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -23,7 +24,7 @@ from .common import drop, file_system, new_path, stored
 from .jaccard import group_starts, groups
 
 #: Slots of the literal map, a power of two. A map's keys are searched one by one, so ranks are dealt to small maps by hash.
-SLOTS = 16_384
+SLOTS = 65_536
 #: Longer words, in bytes, are merged with a heap instead; the fold copies its arrays at each step.
 FOLD_BYTES = 128
 
@@ -43,9 +44,14 @@ def literal_ranks(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once: within a fold, equal expressions are computed again at each place."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def encoded(word: Column, ranks: Column) -> Column:
     """array<int>: the ids of a word."""
-    none = F.lit(2**31 - 1)
+    none, no_ranks = F.lit(2**31 - 1), F.array().cast("array<int>")
 
     def under(slots: Column) -> Column:
         def rank(piece: Column) -> Column:
@@ -53,23 +59,30 @@ def encoded(word: Column, ranks: Column) -> Column:
 
         def merge(acc: Column, _: Column) -> Column:
             p, r = acc["p"], acc["r"]
-            low = F.array_min(r)
-            at = F.array_position(r, low).cast("int")
-            joined = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-            before = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, F.greatest(at - 1, F.lit(1))), joined)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at + 1 < F.size(p), F.array(rank(F.concat(joined, F.element_at(p, F.least(at + 2, F.size(p))))))).otherwise(F.array().cast("array<int>"))
-            new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
-            new_r = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(p)))
-            return F.when(F.coalesce(low, none) == none, acc).otherwise(F.struct(new_p.alias("p"), new_r.alias("r")))
-
-        bytes_ = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        n = F.char_length(bytes_)
-        chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(bytes_, i, F.lit(1)))
-        # element 1 of the pairs' ranks belongs to characters 1 and 2
-        first = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(bytes_, i, F.lit(2))))
-        folded = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(chars.alias("p"), first.alias("r")), merge, lambda acc: F.transform(acc["p"], rank))
-        whole = rank(bytes_)
-        return F.when(whole != none, F.array(whole)).otherwise(folded)
+
+            def joined_at(at: Column, joined: Column) -> Column:
+                before = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, at - 1), joined)))).otherwise(no_ranks)
+                after = F.when(at + 1 < F.size(p), F.array(rank(F.concat(joined, F.element_at(p, at + 2))))).otherwise(no_ranks)
+                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
+                new_r = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(p)))
+                return F.struct(new_p.alias("p"), new_r.alias("r"))
+
+            def at_lowest(low: Column) -> Column:
+                found = once(F.array_position(r, low).cast("int"), lambda at: once(F.concat(F.element_at(p, at), F.element_at(p, at + 1)), lambda joined: joined_at(at, joined)))
+                return F.when(low < none, found).otherwise(acc)
+
+            # an empty array has no least element
+            return once(F.coalesce(F.array_min(r), none), at_lowest)
+
+        def whole_or_folded(bytes_: Column) -> Column:
+            n = F.char_length(bytes_)
+            chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(bytes_, i, F.lit(1)))
+            # element 1 of the pairs' ranks belongs to characters 1 and 2
+            first = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(bytes_, i, F.lit(2))))
+            folded = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(chars.alias("p"), first.alias("r")), merge, lambda acc: F.transform(acc["p"], rank))
+            return once(rank(bytes_), lambda whole: F.when(whole < none, F.array(whole)).otherwise(folded))
+
+        return once(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole_or_folded)
 
     return F.element_at(F.transform(F.array(ranks), under), 1)
 
@@ -104,20 +117,9 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def word_ids(words: DataFrame, rank_path: str) -> DataFrame:
-    """(word, ids array<int>) of a table of distinct words; null and empty words have no ids."""
-    ranks = load_ranks(rank_path)
-
-    def long_words(batches):
-        import pyarrow as pa
-
-        own = load_ranks(rank_path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged(w.encode("utf-8"), own) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
-
-    size = F.octet_length("word")
-    short = words.where(size.between(1, FOLD_BYTES)).select("word", encoded(F.col("word"), literal_ranks(ranks)).alias("ids"))
-    return short.union(words.where(size > FOLD_BYTES).select("word").mapInArrow(long_words, "word string, ids array<int>"))
+def compact(ids: Column, width: int) -> Column:
+    """Ids as one binary, `width` bytes each, big-endian; null stays null."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i.cast("long")), 2 * width, "0")), ""))
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -161,7 +163,8 @@ def _mapped(docs: DataFrame, rank_path: str, pattern: str, text: str, doc_id: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), last), pa.int64()), pa.array(new, pa.string())], ["block", "word"])
 
     pairs = stored(split.select("block", "words").mapInArrow(distinct, "block long, word string"), "block-words")
-    ids = stored(word_ids(pairs.select("word").distinct(), rank_path), "word-ids")
+    ranks = load_ranks(rank_path)
+    width = 2 if max(ranks.values()) < 1 << 16 else 4
     folder = new_path(spark, "dictionaries")
 
     def write(batches):
@@ -170,7 +173,15 @@ def _mapped(docs: DataFrame, rank_path: str, pattern: str, text: str, doc_id: st
 
         fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
+        own = None
         for t in groups(batches, ("block",)):
+            missing = [i for i, x in enumerate(t.column("ids").is_null().to_pylist()) if x]
+            if missing:  # words that are too long for the fold
+                own = own or load_ranks(rank_path)
+                ids, words = t.column("ids").to_pylist(), t.column("word")
+                for i in missing:
+                    ids[i] = np.array(merged(words[i].as_py().encode("utf-8"), own), dtype=f">u{width}").tobytes()
+                t = t.set_column(t.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
             starts = group_starts(t, ("block",)).tolist()
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 g, name = t.slice(s, e - s), t.column("block")[s].as_py()
@@ -179,10 +190,14 @@ def _mapped(docs: DataFrame, rank_path: str, pattern: str, text: str, doc_id: st
                 fs.move(f"{path}/.{name}", f"{path}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64())], ["block"])
 
+    # a word's list of blocks is as long as the number of splits at most; each word is encoded once, in one task
+    words = pairs.where("word <> ''").groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    folded = F.when(F.octet_length("word") <= FOLD_BYTES, compact(encoded(F.col("word"), literal_ranks(ranks)), width))
+    dealt = words.select("word", "blocks", folded.alias("ids")).select(F.explode("blocks").alias("block"), "word", "ids")
     blocks = max(1, pairs.select("block").distinct().count())
-    dealt = pairs.join(ids, "word").select("block", "word", "ids").repartition(blocks, "block").sortWithinPartitions("block")
-    stored(dealt.mapInArrow(write, "block long"), "dictionary-list").count()
-    drop(pairs, ids)
+    ready = dealt.repartition(blocks, "block").sortWithinPartitions("block")
+    stored(ready.mapInArrow(write, "block long"), "dictionary-list")
+    drop(pairs)
 
     def encode(batches):
         import pyarrow as pa
@@ -204,8 +219,9 @@ def _mapped(docs: DataFrame, rank_path: str, pattern: str, text: str, doc_id: st
                 if at[s] != last and len(flat):
                     with fs.open_input_file(f"{path}/{at[s]}") as f:
                         got = pq.read_table(f)
-                    lists = got.column("ids").combine_chunks()
-                    raw, offs = lists.flatten().to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+                    blobs = got.column("ids").to_pylist()
+                    ends = np.cumsum(np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs))) // width * 4
+                    raw, offs = np.frombuffer(b"".join(blobs), dtype=f">u{width}").astype("<u4").tobytes(), [0, *ends.tolist()]
                     known = dict(zip(got.column("word").to_pylist(), map(raw.__getitem__, map(slice, offs[:-1], offs[1:])), strict=True))
                     last = at[s]
                 blobs = [known[w] for w in flat.dictionary.to_pylist()]
