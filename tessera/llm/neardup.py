@@ -257,7 +257,9 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, shard_rows: int = 2
         fs.move(f"{name}.part", name)
         return pa.table({"label": pa.array([key[0].as_py()]), "size": pa.array([key[1].as_py()], pa.int32()), "path": pa.array([name])})
 
-    graphs = stored(sharded.select("label", "size", "shard", "key", "e", "copies").groupBy("label", "size", "shard").applyInArrow(build, "label string, size int, path string"), "graphs")
+    # a shard is little data and much work: as many tasks as shards, which adaptive execution does not put together
+    n_shards = max(1, sharded.select("label", "size", "shard").distinct().count())
+    graphs = stored(sharded.select("label", "size", "shard", "key", "e", "copies").repartition(n_shards, "label", "size", "shard").groupBy("label", "size", "shard").applyInArrow(build, "label string, size int, path string"), "graphs")
 
     def query(batches):
         import pyarrow as pa
@@ -283,7 +285,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, shard_rows: int = 2
                 yield from pa.table({"key": pa.array(own, pa.binary()), "to": pa.array([names[label[p]] for p in place.tolist()], pa.binary()), "links": pa.array(n, pa.int64())}).to_batches()
 
     parts = sharded.select("label", "size", "key", "e", F.pmod(F.xxhash64("key", F.lit(3)), F.ceil(F.col("n") / block)).cast("int").alias("part"))
-    asked = parts.join(graphs, ["label", "size"]).select("path", "part", "key", "e").repartition("path", "part").sortWithinPartitions("path", "part")
+    asked = parts.join(graphs, ["label", "size"]).select("path", "part", "key", "e")
+    asked = asked.repartition(max(1, asked.select("path", "part").distinct().count()), "path", "part").sortWithinPartitions("path", "part")
     found = stored(asked.mapInArrow(query, "key binary, to binary, links long"), "links")
     roots = components(found.select(F.col("key").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
