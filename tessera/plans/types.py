@@ -6,6 +6,9 @@ from pyspark.sql import types as T
 
 from ..functions.interpreter import Registry
 
+#: The keyword that holds type hints (primitive, instanceOf, brand); callers whose schemas use another name set it.
+HINTS = "x-type"
+
 
 def struct_type(schema, documents: dict | None = None) -> T.DataType:
     """The Spark type of a schema's values; VARIANT where values have no one type or the schema is recursive."""
@@ -46,7 +49,7 @@ def _type(s, registry: Registry, base: str, stack: tuple) -> T.DataType:
     if not isinstance(s, dict):
         return T.VariantType()
     base = registry.base_of.get(id(s), base)
-    hint = s.get("x-mjst") if isinstance(s.get("x-mjst"), dict) else {}
+    hint = s.get(HINTS) if isinstance(s.get(HINTS), dict) else {}
     if hint.get("primitive") == "bigint":
         return T.DecimalType(38, 0)
     if hint.get("instanceOf") == "Date":
@@ -118,8 +121,8 @@ def _type(s, registry: Registry, base: str, stack: tuple) -> T.DataType:
                 note = "\n".join(str(x[t]) for t in ("title", "description", "$comment") if t in x)
                 if note:
                     meta["comment"] = note
-                if isinstance(x.get("x-mjst"), dict) and "brand" in x["x-mjst"]:
-                    meta["brand"] = str(x["x-mjst"]["brand"])
+                if isinstance(x.get(HINTS), dict) and "brand" in x[HINTS]:
+                    meta["brand"] = str(x[HINTS]["brand"])
             fields.append(T.StructField(k, _type(x, registry, base, stack), nullable, meta))
         extra = s.get("additionalProperties", False)
         out = T.StructType(fields)

@@ -157,7 +157,7 @@ def test_parsers(spark):
 
 
 def test_types_defaults_and_examples():
-    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "title": "A"}, "b": {"type": "array", "items": {"type": "number"}}, "c": {"$ref": "#/$defs/c"}, "d": {"enum": ["x", None]}, "e": {"x-mjst": {"primitive": "bigint"}}}, "$defs": {"c": {"type": "object", "properties": {"again": {"$ref": "#/$defs/c"}}}}}
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "title": "A"}, "b": {"type": "array", "items": {"type": "number"}}, "c": {"$ref": "#/$defs/c"}, "d": {"enum": ["x", None]}, "e": {"x-type": {"primitive": "bigint"}}}, "$defs": {"c": {"type": "object", "properties": {"again": {"$ref": "#/$defs/c"}}}}}
     t = struct_type(schema)
     assert t["a"].dataType == T.LongType() and not t["a"].nullable and t["a"].metadata["comment"] == "A"
     assert t["b"].dataType == T.ArrayType(T.DoubleType()) and t["c"].dataType["again"].dataType == T.VariantType() and t["e"].dataType == T.DecimalType(38, 0)
