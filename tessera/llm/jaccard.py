@@ -299,14 +299,15 @@ def _blocked(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, text_hash, class_id, n_links, n_copies, kept.
+    """One row per document: doc_id, text_hash, class_id, n_links, n_copies, kept, root.
 
     Two different texts are linked if the Jaccard similarity of their sets of five-word shingles is at least the
     threshold (three decimals). n_links counts the other texts linked directly, n_copies the rows of the same text,
     class_id is the smallest doc_id of all rows reachable over links and copies, kept marks the row of that doc_id.
     Null texts and texts without a word stand alone: class_id is their own doc_id and no copies count. Rows that repeat
     a doc_id count as copies, or as members of each class they are in, and all rows of the smallest doc_id have kept. A
-    null doc_id comes last in a class. An empty table gives an empty table.
+    null doc_id comes last in a class. root is the smallest text hash of the class, which tells classes apart where
+    doc_ids are null or repeat, and null for what stands alone. An empty table gives an empty table.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(own.mapInArrow(_signed, "doc_id long, text_hash binary, sig binary, sketch binary"), "signatures")
@@ -340,27 +341,29 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999,
     placed = reps.select("text_hash", "rep", "n_copies").join(links, "text_hash", "left").join(classes, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     placed = stored(placed, "placed")
     ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of = stored(placed.join(ids, "root").select(F.col("text_hash").alias("h"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
+    of = stored(placed.join(ids, "root").select(F.col("text_hash").alias("h"), "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
     rows = signed.select("doc_id", "text_hash", F.when(F.col("sig").isNotNull(), F.col("text_hash")).alias("k"))
     out = rows.join(of, F.col("k") == F.col("h"), "left")
     alone = F.col("h").isNull()
     return out.select(
         "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.when(alone, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        "root",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each class, the one of the smallest doc_id; columns stay as they are.
+    """docs with one row of each class, the one of the smallest doc_id, nulls last; columns stay as they are.
 
-    Of rows that repeat that doc_id and its text one stays. Texts without a word all stay.
+    Of rows of that doc_id in one class the smallest text hash stays, of rows that repeat that text too any one. Texts
+    without a word all stay.
     """
     key, digest, own = "__tessera_key", "__tessera_hash", "__tessera_own"
     joined = jaccard_join(docs, threshold, text=text, doc_id=doc_id)
-    # a doc_id may carry two texts of one class: of these the smaller hash stays
-    some = joined.where("kept").groupBy("doc_id", "class_id").agg(F.min("text_hash").alias("h"))
-    keep = stored(some.select(F.col("doc_id").alias(key), F.col("h").alias(digest)).distinct(), "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("first")
+    some = joined.where("root is not null").groupBy("root").agg(first)
+    keep = stored(some.select(F.col("first.doc_id").alias(key), F.col("first.text_hash").alias(digest)), "kept")
     hashed = docs.withColumn(own, F.unhex(F.md5(F.col(text))))
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     matched = hashed.where(worded).join(keep, (F.col(own) == F.col(digest)) & F.col(doc_id).cast("long").eqNullSafe(F.col(key)), "left_semi")
-    return matched.dropDuplicates([doc_id, own]).drop(own).unionByName(hashed.where(~worded).drop(own))
+    return matched.dropDuplicates([own]).drop(own).unionByName(hashed.where(~worded).drop(own))

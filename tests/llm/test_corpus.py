@@ -287,6 +287,17 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard_join(empty).collect() == []
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    from tessera.llm.jaccard import drop_near_duplicates
+
+    texts = [prose(30) for _ in range(6)]
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, "  "), (7, None), (8, texts[5]), (None, texts[5]), (8, texts[5])]
+    got = [tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    first = min(texts[0], near, key=lambda t: hashlib.md5(t.encode()).digest())
+    assert Counter(got) == Counter([(None, first), *rows[3:10]])
+
+
 def test_jaccard_blocks_of_a_large_group(spark, monkeypatch):
     from tessera.llm import jaccard
 
