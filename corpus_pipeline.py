@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later occurrences of lines; one that loses all its lines stays, with an empty text."""
-    return _counted(dedup_substrings(docs), docs)
+    """Documents without the later occurrences of lines of any length; one that loses all its lines stays, with an empty text."""
+    return _counted(dedup_substrings(docs, min_words=1), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

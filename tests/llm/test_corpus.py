@@ -181,6 +181,15 @@ def test_substring_dedup(docs, rows, empty):
     assert dedup_substrings(empty).collect() == []
 
 
+def test_pipeline_drops_repeated_lines_of_any_length(spark):
+    import corpus_pipeline as cp
+
+    passage = "".join(chr(0x4E00 + i) for i in range(300))
+    rows = [(1, f"one\n{passage}\nall rights reserved.", 0), (2, f"two\n{passage}\n\nAll  rights reserved.", 0), (3, "one", 0), (4, None, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("two\n", 4), 3: ("", 0), 4: (None, None)}
+
+
 def test_quality_measures_and_order(spark, docs, rows, empty):
     from tessera.llm.quality import RULES, Text, order_rules, quality
 
