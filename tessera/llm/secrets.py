@@ -101,19 +101,34 @@ def entropy_spans(text: Column, c: CharClass, rank: int, window: int = WINDOW, a
     return F.filter(pattern_spans(text, c.kind, rank, f"{c.run}{{{window},}}"), hot)
 
 
+def blanked(text: Column, spans: str) -> Column:
+    """The text with blanks in place of spans sorted by start, which may overlap; offsets stay."""
+    parts = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        at, start, end = acc["at"], F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.substring(text, at + 1, start - at), F.repeat(F.lit(" "), end - start))).alias("out"))
+
+    def end(acc):
+        return F.array_join(F.array_append(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))), "")
+
+    return F.when(F.size(spans) > 0, F.aggregate(F.col(spans), parts, step, end)).otherwise(text)
+
+
 def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """docs with _base and _spans, arrays of (start, end, kind, rank, body) sorted by start, then kind as listed.
 
-    _base holds the pattern kinds. _spans also holds hot candidates that overlap no pattern span and no hot candidate
-    of a class listed earlier. Null texts count as empty and hold none. Offsets are code points, ends exclusive.
+    _base holds the pattern kinds. _spans also holds hot candidates of what pattern spans and hot candidates of classes
+    listed earlier leave of the text: a run that one of these covers in part is scored in the rest. Null texts count as
+    empty and hold none. Offsets are code points, ends exclusive.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn("_base", F.array_sort(F.concat(*(pattern_spans(t, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE)))))
     found = found.withColumn("_spans", F.col("_base"))
     for i, c in enumerate(classes):
-        found = found.withColumn("_own", entropy_spans(t, c, len(BASE) + i, allowed=allowed))
-        clear = F.filter("_own", lambda x: ~F.exists("_spans", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-        found = found.withColumn("_spans", F.when(F.size("_own") == 0, F.col("_spans")).otherwise(F.concat("_spans", clear))).drop("_own")
+        found = found.withColumn("_left", blanked(t, "_spans"))
+        found = found.withColumn("_own", entropy_spans(F.col("_left"), c, len(BASE) + i, allowed=allowed))
+        found = found.withColumn("_spans", F.when(F.size("_own") == 0, F.col("_spans")).otherwise(F.array_sort(F.concat("_spans", "_own")))).drop("_own", "_left")
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"])
     return found.withColumns({c: F.array_sort(c, order) for c in ("_base", "_spans")})
 
