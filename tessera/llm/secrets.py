@@ -17,12 +17,16 @@ BASE = (
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates are maximal runs of the alphabet with a letter and a digit; hot if a window reaches `bits`."""
+    """Candidates are maximal runs of the alphabet with a letter and a digit; hot if a window reaches `bits`.
+
+    `short` holds the bits that shorter candidates must reach as a whole, by length, the last for one less than a window.
+    """
 
     kind: str
     run: str
     alphabet: str
     bits: float
+    short: tuple[float, ...] = ()
 
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +35,14 @@ CLASSES = (
     CharClass("entropy_mixed", "[A-Za-z0-9+/_=-]", DIGITS + LOWER + LOWER.upper() + "+/_=-", 3.9),
 )
 WINDOW = 20
+#: Scored after CLASSES, on what these leave. Bits are what 99 % of random strings of the alphabet reach, in a window and
+#: at lengths from 12; the widest alphabet comes first, so that a span holds the whole string.
+RANDOM = (
+    CharClass("entropy_alnum", "[A-Za-z0-9]", DIGITS + LOWER + LOWER.upper(), 3.64, (3.02, 3.08, 3.18, 3.27, 3.32, 3.45, 3.5, 3.57)),
+    CharClass("entropy_lower", "[a-z0-9]", DIGITS + LOWER, 3.4, (2.75, 2.87, 2.98, 3.05, 3.14, 3.21, 3.28, 3.32)),
+    CharClass("entropy_upper", "[A-Z0-9]", DIGITS + LOWER.upper(), 3.4, (2.75, 2.87, 2.98, 3.05, 3.14, 3.21, 3.28, 3.32)),
+    CharClass("entropy_hex_random", "[0-9a-fA-F]", DIGITS + "abcdefABCDEF", 2.9, (2.35, 2.44, 2.54, 2.6, 2.65, 2.74, 2.79, 2.83)),
+)
 #: Candidates that match one of these are no secrets: samples, runs of the alphabet, repeated characters.
 ALLOWED = (r"(?i)example|sample|dummy|placeholder", r"(?i)0123456789|abcdefghij|qwertyuiop", r"(.)\1{7}")
 
@@ -67,12 +79,12 @@ def _weight(n: Column) -> Column:
 
 
 def window_entropy(body: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy in bits of any `window` consecutive characters; of fewer characters, none: -1.
+    """The largest Shannon entropy in bits of any `window` consecutive characters; of fewer characters, that of all.
 
     Counts per character are kept for the window and changed by one for the character that enters and the one that
     leaves, and with them the sum of n log n, from which the entropy follows.
     """
-    w = F.lit(window)
+    w = F.least(F.lit(window), F.char_length(body))
     place = lambda i: F.instr(F.lit(alphabet), F.substring(body, i, F.lit(1)))
     start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
 
@@ -90,15 +102,21 @@ def window_entropy(body: Column, alphabet: str, window: int = WINDOW) -> Column:
 
 def entropy_spans(text: Column, c: CharClass, rank: int, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Spans of candidates that are hot and not on the allow list."""
+    least = window - len(c.short)
+    bits = F.lit(c.bits)
 
     def hot(x: Column) -> Column:
         body = x["body"]
+        n = F.char_length(body)
+        need = F.when(n < window, F.element_at(F.array(*map(F.lit, c.short)), F.greatest(n - least + 1, F.lit(1)))).otherwise(bits) if c.short else bits
         ok = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
         for a in allowed:
             ok = ok & ~body.rlike(a)
-        return F.when(ok, F.round(window_entropy(body, c.alphabet, window), 9) >= c.bits).otherwise(F.lit(False))
+        return F.when(ok, F.round(window_entropy(body, c.alphabet, window), 9) >= need).otherwise(F.lit(False))
 
-    return F.filter(pattern_spans(text, c.kind, rank, f"{c.run}{{{window},}}"), hot)
+    # lookarounds keep words without a digit from being listed; they stand at the start of a run and change no candidate
+    both = f"(?<!{c.run})(?={c.run}*[0-9])(?={c.run}*[A-Za-z])"
+    return F.filter(pattern_spans(text, c.kind, rank, f"{both}{c.run}{{{least},}}"), hot)
 
 
 def blanked(text: Column, spans: str) -> Column:
@@ -115,7 +133,7 @@ def blanked(text: Column, spans: str) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.col(spans), parts, step, end)).otherwise(text)
 
 
-def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES + RANDOM, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """docs with _base and _spans, arrays of (start, end, kind, rank, body) sorted by start, then kind as listed.
 
     _base holds the pattern kinds. _spans also holds hot candidates of what pattern spans and hot candidates of classes

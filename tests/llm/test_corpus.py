@@ -264,6 +264,24 @@ def test_secrets_beside_pattern_spans(spark):
     assert got[texts[2]] == ("hex:12:52", "see /commit/[SECRET] end")
 
 
+def test_random_keys_of_any_alphabet(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.secrets import redacted, scan
+
+    r, digits, lower = random.Random(8), "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for name, letters in (("lower", digits + lower), ("upper", digits + lower.upper()), ("alnum", digits + lower + lower.upper()), ("hex", digits + "abcdef")):
+        for n in (12, 16, 20, 24, 32):
+            keys = ("".join(r.choice(letters) for _ in range(n)) for _ in range(400))
+            rows += [(f"{name}{n}", k) for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)][:200]
+    found = scan(spark.createDataFrame(rows, "kind string, key string").withColumn("text", F.concat(F.lit("the "), "key", F.lit(" end"))))
+    missed = Counter(x.kind for x in found.select("kind", "key", redacted(F.col("text"), "_spans").alias("clean")).collect() if x.key in x.clean)
+    assert max(missed.values(), default=0) <= 12
+    plain = ["internationalization2 and version20202020 chapter111111", "Straße12 one-two-three-4 123456789", "ABCABCABCABC1 xyxyxyxyxyxy7"]
+    assert not [x for x in scan(spark.createDataFrame([(t,) for t in plain], "text string")).collect() if x["_spans"]]
+
+
 def test_byte_pairs(docs, rows, empty):
     from tessera.llm.bytepair import encode_digests, encode_documents
 
