@@ -1,9 +1,8 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
 Every text has a MinHash signature, cut into trees of up to DEPTH values each. A prefix of a tree's values, hashed, is
-a node of that tree's trie; texts under one node are candidates. Matching starts at the longest prefix whose recall at
-the threshold reaches the target by formula, and shortens while an audit over the links found says that more are
-missing. Nothing here grows with the square of a group on disk: a node's texts are compared by one-byte sketches in
+a node of that tree's trie; texts under one node are candidates. Matching uses the longest prefix whose recall at the
+threshold reaches the target by formula; the sum over the links found can never ask for a shorter one. Nothing here grows with the square of a group on disk: a node's texts are compared by one-byte sketches in
 blocks inside tasks, which hand on only a spanning forest; the shingle sets of each candidate component are gathered
 once and compared in blocks, which hand on counts of links and again a spanning forest.
 """
