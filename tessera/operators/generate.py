@@ -102,16 +102,16 @@ def _random(s: dict, d: T.DataType, seed: list[int]) -> Column:
 def generate(spark: SparkSession, cs: Compiled, n: int, seed: int = 0, most_factor: int = 20) -> DataFrame:
     """n rows (id, value) that are valid; candidates are drawn in order of id and those that fail the guard are left out.
 
-    The same seed gives the same rows. If too few of most_factor * n candidates are valid, reading fails.
+    The same seed gives the same rows. If too few of most_factor * n candidates are valid, it raises ValueError.
     """
     d = struct_type(cs.schema, cs.documents)
     chance = [seed * 100_003 + 1]
     for factor in (1, 2, 5, most_factor):
         own = spark.range(0, n * factor, 1, max(1, n * factor // 500_000)).select("id", _random(cs.schema, d, chance[:]).alias("value"))
         good = own.where(is_valid(own, cs, "value"))
-        if factor == most_factor or good.limit(n).count() == n:
+        if good.limit(n).count() == n:
             return good.limit(n)
-    raise AssertionError
+    raise ValueError(f"fewer than {n} of {n * most_factor} candidates are valid")
 
 
 __all__ = ["example", "example_row", "generate"]

@@ -169,3 +169,12 @@ def test_types_defaults_and_examples():
     assert merge_all({"minimum": 1, "type": ["integer", "string"]}, {"minimum": 3, "type": "number"}) == {"minimum": 3, "type": "integer"}
     for s in (ORDER, {"type": "string", "pattern": "^[0-9]{5}$"}, {"type": "array", "minItems": 3, "uniqueItems": True, "items": {"type": "string"}}, {"allOf": [{"minimum": 3}, {"type": "integer", "maximum": 9}]}, {"type": "string", "format": "uuid"}):
         assert Validator(s, "all").ok(example_of(s)), s
+
+
+def test_generate_raises_when_too_few_candidates_are_valid(spark):
+    from tessera.operators.generate import generate
+    from tessera.operators.validate import compile_schema
+
+    some = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 1000, "not": {"minimum": 2}}}}
+    with pytest.raises(ValueError, match="candidates are valid"):
+        generate(spark, compile_schema(some), 50)
