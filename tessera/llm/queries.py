@@ -21,9 +21,10 @@ def vocabulary(name: str) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring import dedup_substrings
+    """Whole documents without later occurrences of repeated sentences, in runs of 30 words or more: n_removed spans, the spans, the text."""
+    from .substring import PASSAGES, dedup_substrings
 
-    out = dedup_substrings(read_table(spark, sf_dir, "documents"))
+    out = dedup_substrings(read_table(spark, sf_dir, "documents"), **PASSAGES)
     spans = F.array_join(F.transform("_removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", F.size("_removed").cast("long").alias("n_removed"), spans.alias("removed"), "text")
 

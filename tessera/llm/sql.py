@@ -6,14 +6,18 @@ from .secrets import CLASSES, DIGITS, LOWER, WINDOW
 
 OP1 = r"""
 WITH d AS (SELECT doc_id, text, md5(text) AS h FROM documents),
-l AS (SELECT doc_id, text, h, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d),
-p AS (SELECT *, sum(length(line) + 1) OVER w - length(line) - 1 AS a, i = max(i) OVER (PARTITION BY doc_id, h) AS final,
-      trim(regexp_replace(lower(line), '[\x09-\x0D\x20]+', ' ', 'g')) AS n FROM l WINDOW w AS (PARTITION BY doc_id, h ORDER BY i)),
-k AS (SELECT *, CASE WHEN length(n) - length(replace(n, ' ', '')) >= 3 THEN row_number() OVER (PARTITION BY n ORDER BY doc_id NULLS LAST, h, a) ELSE 1 END AS r FROM p)
-SELECT doc_id, count(*) FILTER (r > 1) AS n_removed,
-       coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(line) + CASE WHEN final THEN 0 ELSE 1 END AS BIGINT), ',' ORDER BY a) FILTER (r > 1), '') AS removed,
-       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r = 1), '') AS text
-FROM k GROUP BY doc_id, h
+c AS (SELECT doc_id, h, list_filter(string_split(regexp_replace(text, '(\n|[.!?][ \t]+|[。！？])', '\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '') AS cuts FROM d),
+l AS (SELECT doc_id, h, unnest(cuts) AS piece, unnest(range(1, len(cuts) + 1)) AS i FROM c),
+p AS (SELECT *, sum(length(piece)) OVER w - length(piece) AS a, trim(regexp_replace(lower(nfc_normalize(piece)), '[\x09-\x0D\x20]+', ' ', 'g')) AS n FROM l WINDOW w AS (PARTITION BY doc_id, h ORDER BY i)),
+q AS (SELECT *, CASE WHEN n = '' THEN 0 ELSE greatest(length(n) - length(replace(n, ' ', '')) + 1, length(n) // 10) END AS words FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY i) AS k, row_number() OVER (PARTITION BY n ORDER BY doc_id NULLS LAST, h, a) AS r FROM q WHERE words >= 4),
+m AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, h ORDER BY k) AS run FROM k WHERE r > 1),
+s AS (SELECT doc_id, h, min(a) AS a, max(a + length(piece)) AS z FROM m GROUP BY doc_id, h, run HAVING sum(words) >= 30),
+kept AS (SELECT p.doc_id, p.h, string_agg(piece, '' ORDER BY i) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = p.doc_id AND s.h = p.h AND p.a >= s.a AND p.a < s.z)) AS text FROM p GROUP BY p.doc_id, p.h),
+g AS (SELECT doc_id, h, count(*) AS n, max(z) AS z, string_agg(CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT), ',' ORDER BY a) AS removed FROM s GROUP BY doc_id, h)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_removed, coalesce(removed, '') AS removed,
+       CASE WHEN g.n IS NULL THEN d.text WHEN g.z = length(d.text) THEN regexp_replace(coalesce(kept.text, ''), '(\n|[ \t]+)\z', '') ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id AND g.h = d.h LEFT JOIN kept ON kept.doc_id = d.doc_id AND kept.h = d.h
 """
 
 OP3 = """
