@@ -2,9 +2,9 @@
 
 Bounded-space online best-fit. A fixed number of bins is open; a bitset keyed by free space tells which free spaces
 exist, so the tightest bin that takes a piece is found with two bit operations. When every bin is taken and a piece
-fits none of them, the fullest one closes. Pieces are dealt to shards by hash, a shard holds about `shard_tokens`
-tokens whatever the input's size, and each is packed on its own in one task's memory; in a shard the pieces come
-longest first, which makes the online rule best-fit decreasing.
+fits none of them, the fullest one closes. A task streams its pieces through the bins and hands each on as soon as it
+is placed, so its memory holds the open bins and one window of pieces, however many come; within a window the longest
+come first, which fills bins better.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored
+from .common import lean, stored
 from .wordpiece import coder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -87,37 +88,43 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(pieces), PIECES)
 
 
-def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 4096, shard_tokens: int = 4_000_000) -> DataFrame:
-    """pieces (doc_id, piece, length, ...) with sequence_id long and offset long added.
+def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 1024, window: int = 2048, shard_tokens: int = 64_000_000) -> DataFrame:
+    """pieces (doc_id, piece, length, ids_crc32, ...) with sequence_id long and offset long added.
 
-    Sequences never exceed `size`; the pieces of one lie gapless from offset 0. Shards number
-    ceil(tokens / shard_tokens); a shard ends with bins that are not full, so larger shards waste less. An empty table
-    gives an empty table. Null or non-positive lengths are an error.
+    Sequences never exceed `size`; the pieces of one lie gapless from offset 0. Pieces are dealt in turn, by no key, to
+    ceil(tokens / shard_tokens) tasks, each of which ends with open bins that are not full. Equal rows are pieces of
+    their own. Columns of the input stay, but for those named sequence_id and offset, which are replaced. An empty
+    table gives an empty table. Null or non-positive lengths, and those over `size`, are an error.
     """
-    pieces = stored(pieces, "pieces")
+    pieces = stored(pieces.drop("sequence_id", "offset"), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # in an order that is the same whenever a task runs again
+    ordered = pieces.repartition(max(1, -(-total // shard_tokens))).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
 
-    def one(key, table):
+    def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        lengths = table.column("length").to_numpy()
-        order = np.lexsort((table.column("piece").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), -lengths))
-        bins = Bins(size, open_bins)
-        seq, off = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-        base = key[0].as_py() << 32
-        for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
-            at, o = bins.place(n)
-            seq[i], off[i] = base + at, o
-        return table.drop_columns("shard").append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+        bins, base = Bins(size, open_bins), TaskContext.get().partitionId() << 32
+        for b in batches:
+            for at in range(0, b.num_rows, window):
+                part = b.slice(at, window)
+                lengths = part.column("length").to_pylist()
+                seq, off = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+                for i in sorted(range(len(lengths)), key=lambda i: -(lengths[i] or 0)):
+                    seq[i], off[i] = bins.place(lengths[i] or 0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(base + seq), pa.array(off)], [*part.schema.names, "sequence_id", "offset"])
 
-    return dealt.groupBy("shard").applyInArrow(one, ", ".join([PIECES, "sequence_id long, offset long"]))
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, **limits) -> DataFrame:
-    return pack(token_pieces(docs, tokenizer, end_id, size), size, **limits)
+    """token_pieces() of docs, packed by pack(): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    Of docs, doc_id and text alone are read. A null or empty text is a piece of one token; an empty table gives an
+    empty table.
+    """
+    return pack(token_pieces(docs, tokenizer, end_id, size), size, **limits)
