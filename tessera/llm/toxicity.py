@@ -11,13 +11,17 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop, lean, stored
+
 _TOKEN = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (3, 4, 5, 6, 7)
+#: Features of the model at most, and rows that a feature must have.
+MOST, LEAST_ROWS = 8192, 5
 
 
 def features(text: str | None) -> np.ndarray:
@@ -38,18 +42,27 @@ class Severity:
     thresholds: np.ndarray
 
     def score(self, text: str | None) -> float:
+        """w.x; minus infinity for a text without a feature, which speaks for no grade but 0."""
         own = features(text)
-        if not len(self.numbers) or not len(own):
+        if not len(own):
+            return -np.inf
+        if not len(self.numbers):
             return 0.0
         at = np.minimum(np.searchsorted(self.numbers, own), len(self.numbers) - 1)
         return float(self.weights[at][self.numbers[at] == own].sum())
 
     def above(self, score: float) -> np.ndarray:
-        """P(grade > k) for each k."""
-        return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -50, 50)))
+        """P(grade > k) for each k; 0 for a score of minus infinity."""
+        return np.zeros(len(self.thresholds)) if np.isinf(score) else 1 / (1 + np.exp(-np.clip(score - self.thresholds, -50, 50)))
+
 
+def shift(pos, all_, share: float):
+    """How far the rows of grades over 0 that have a feature are from their share, in deviations; of arrays or Columns."""
+    sqrt, absolute = (F.sqrt, F.abs) if isinstance(pos, Column) else (np.sqrt, np.abs)
+    return absolute(pos - share * all_) / sqrt(share * (1 - share) * all_ + 1)
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, most: int = 8192, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400) -> Severity:
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, most: int = MOST, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400) -> Severity:
     """Fits by accelerated proximal gradient descent.
 
     rows: the features of each text; grades: 0, 1, ... Grades that no row has are closed up. Features are the `most`
@@ -61,15 +74,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, most: int = 8192, l1: float
         return Severity(np.zeros(0, np.int64), np.zeros(0), np.full(max(1, int(kinds[0]) if len(kinds) else 0), -30.0 if len(kinds) and kinds[0] else 30.0))
     y = np.searchsorted(kinds, grades)
     sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
+    names, flat = np.unique(np.concatenate(rows), return_inverse=True)
     bad = np.repeat(y > 0, sizes)
-    pos, all_ = np.bincount(flat[bad], minlength=BUCKETS), np.bincount(flat, minlength=BUCKETS)
-    share = (y > 0).mean()
-    z = np.abs(pos - share * all_) / np.sqrt(share * (1 - share) * all_ + 1)
-    some = np.flatnonzero(all_ >= 5)
-    numbers = np.sort(some[np.argsort(-z[some], kind="stable")[:most]])
-    place = np.full(BUCKETS, -1, dtype=np.int64)
-    place[numbers] = np.arange(len(numbers))
+    pos, all_ = np.bincount(flat[bad], minlength=len(names)), np.bincount(flat, minlength=len(names))
+    z = shift(pos, all_, (y > 0).mean())
+    some = np.flatnonzero(all_ >= LEAST_ROWS)
+    chosen = np.sort(some[np.argsort(-z[some], kind="stable")[:most]])
+    numbers = names[chosen].astype(np.int64)
+    place = np.full(len(names), -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
     row = np.repeat(np.arange(len(rows)), sizes)
     col = place[flat]
     row, col = row[col >= 0], col[col >= 0]
@@ -86,7 +99,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, most: int = 8192, l1: float
         gt = np.zeros(cuts)
         np.add.at(gt, np.minimum(y, cuts - 1), np.where(y < cuts, -dhi / n, 0))
         np.add.at(gt, np.maximum(y - 1, 0), np.where(y > 0, dlo / n, 0))
-        return -np.log(p).mean(), np.bincount(col, weights=gs[row], minlength=m) + l2 * w, gt
+        return -np.log(p).mean() + l2 / 2 * (w @ w), np.bincount(col, weights=gs[row], minlength=m) + l2 * w, gt
 
     theta = np.log(np.cumsum(np.bincount(y))[:-1] / (n - np.cumsum(np.bincount(y))[:-1]))
     w, best = np.zeros(m), np.inf
@@ -98,16 +111,20 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, most: int = 8192, l1: float
             nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * l1, 0)
             nt = np.maximum.accumulate(vt - rate * gt)
             dw, dt = nw - vw, nt - vt
-            now = loss_grad(nw, nt)[0]
-            if now <= base + gw @ dw + gt @ dt + (dw @ dw + dt @ dt) / (2 * rate) + 1e-12 or rate < 1e-6:
+            smooth = loss_grad(nw, nt)[0]
+            if smooth <= base + gw @ dw + gt @ dt + (dw @ dw + dt @ dt) / (2 * rate) + 1e-12 or rate < 1e-6:
                 break
             rate /= 2
+        now = smooth + l1 * np.abs(nw).sum()
+        if now > best and t > 1:  # the momentum overshot: begin again from the last point
+            vw, vt, t = w.copy(), theta.copy(), 1.0
+            continue
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vt = nw + (t - 1) / t1 * (nw - w), nt + (t - 1) / t1 * (nt - theta)
-        w, theta, t = nw, nt, t1
-        if abs(best - now) < 1e-9:
+        vw, vt = nw + (t - 1) / t1 * (nw - w), np.maximum.accumulate(nt + (t - 1) / t1 * (nt - theta))
+        done = abs(best - now) < 1e-9
+        w, theta, t, best, rate = nw, nt, t1, now, rate * 1.1
+        if done:
             break
-        best, rate = now, rate * 1.5
     # grades closed up come back as equal thresholds
     full = np.repeat(theta, np.diff(kinds))
     full = np.concatenate([np.full(int(kinds[0]), -30.0), full])
@@ -119,8 +136,10 @@ def train(docs: DataFrame, grades: DataFrame, most_rows: int = 10_000, text: str
     """Fits on at most most_rows labelled documents, those with the smallest hash of doc_id.
 
     grades: (doc_id, grade); rows with a null in either are left out, and of several grades for a doc_id the highest
-    counts. The sample of doc_ids is bounded by most_rows and is sent to all executors; only feature numbers reach the
-    driver.
+    counts. Of several documents with a doc_id, that with the smallest hash of its text counts. The sample of doc_ids
+    is bounded by most_rows and is sent to all executors. Features are counted in Spark; what reaches the driver are
+    the MOST features that tell grades apart best, and for each row which of these it has, so the driver holds
+    most_rows * MOST numbers at most, however long the texts are.
     """
     spark = docs.sparkSession
     labelled = grades.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).dropna()
@@ -133,23 +152,40 @@ def train(docs: DataFrame, grades: DataFrame, most_rows: int = 10_000, text: str
         import pyarrow as pa
 
         for b in batches:
-            rows = [features(x).astype("<i4").tobytes() for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(rows, pa.binary())], ["grade", "numbers"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                rows = [features(x).astype("<i4") for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), part.column("h"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "grade", "h", "numbers"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    got = own.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(run, "grade int, numbers binary").toArrow()
-    grade = got.column("grade").to_numpy()
-    rows = [np.frombuffer(x.as_buffer(), dtype="<i4").astype(np.int64) for x in got.column("numbers")]
-    order = sorted(range(len(rows)), key=lambda i: (int(grade[i]), rows[i].tobytes()))  # the fit does not depend on the order of rows
-    return fit([rows[i] for i in order], grade[order].astype(np.int64))
+    rows = own.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(run), "doc_id long, grade int, h long, numbers array<int>")
+    # one row per doc_id; rows with a null text and the same doc_id differ in nothing
+    rows = stored(rows.groupBy("doc_id", "grade").agg(F.min(F.struct("h", "numbers")).alias("least")).select("grade", "least.numbers"), "labelled-features")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("int")), F.lit(0))).first()
+    counts = rows.select((F.col("grade") > 0).cast("int").alias("bad"), F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("n"), F.sum("bad").alias("pos"))
+    told = counts.where(F.col("n") >= LEAST_ROWS).withColumn("z", shift(F.col("pos"), F.col("n"), positive / max(n, 1)))
+    best = np.array(sorted(r[0] for r in told.orderBy(F.desc("z"), "number").limit(MOST).select("number").collect()), dtype="<i4")
+
+    def only_best(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            own = [np.array(x, dtype="<i4") for x in b.column("numbers").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([x[np.isin(x, best)].tobytes() for x in own], pa.binary())], ["grade", "numbers"])
+
+    got = rows.mapInArrow(only_best, "grade int, numbers binary").collect()
+    drop(rows)
+    # the fit does not depend on the order of rows
+    got = sorted((r[0], bytes(r[1])) for r in got)
+    return fit([np.frombuffer(x, dtype="<i4") for _, x in got], np.array([g for g, _ in got], dtype=np.int64))
 
 
 def severity(docs: DataFrame, model: Severity, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, severity double, grade int, toxic boolean): expected severity, the likeliest count of passed thresholds,
     and whether P(grade > 0) reaches the threshold.
 
-    Null and empty texts have no features, so the thresholds alone decide. Whole texts are scored. An empty table gives
-    an empty table.
+    Null texts and texts without a letter or digit have no feature and are of severity and grade 0, whatever the labels
+    say. Whole texts are scored. Only doc_id and text are read. An empty table gives an empty table.
     """
     at = threshold
 
@@ -163,11 +199,11 @@ def severity(docs: DataFrame, model: Severity, threshold: float = 0.3, text: str
                 ["doc_id", "severity", "grade", "toxic"],
             )
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(run), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Severity, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """docs without the rows that severity() calls toxic; columns stay as they are."""
+    """docs without the rows that severity() calls toxic; columns stay as they are, null texts stay, an empty table stays empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -176,7 +212,7 @@ def drop_toxic(docs: DataFrame, model: Severity, threshold: float = 0.3, text: s
             p = (model.above(model.score(x)) for x in b.column(b.schema.get_field_index(text)).to_pylist())
             yield b.filter(pa.array([not (len(x) and x[0] >= threshold) for x in p], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
