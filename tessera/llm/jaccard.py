@@ -1,10 +1,13 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
-Every text has a MinHash signature, cut into trees of up to DEPTH values each. A prefix of a tree's values, hashed, is
-a node of that tree's trie; texts under one node are candidates. Matching uses the longest prefix whose recall at the
-threshold reaches the target by formula; the sum over the links found can never ask for a shorter one. Nothing here grows with the square of a group on disk: a node's texts are compared by one-byte sketches in
-blocks inside tasks, which hand on only a spanning forest; the shingle sets of each candidate component are gathered
-once and compared in blocks, which hand on counts of links and again a spanning forest.
+Every text has a MinHash signature, cut into trees of DEPTH values each. Texts sorted by a tree's values are a prefix
+trie: those with a common prefix lie side by side, and texts under one node are candidates. The longest prefixes match
+first. How short they must get is audited: a share of the texts gets partners planted at the threshold similarity, and
+prefixes shorten until the target share of these meet. Below that depth a node is shortened once more where the last
+step still met texts that look alike. Nothing here grows with the square of a group on disk: a node's texts are
+compared by one-byte sketches in blocks inside tasks, which hand on only a spanning forest; the shingle sets of each
+candidate component are gathered once and compared in blocks, which hand on counts of links and again a spanning
+forest.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, stored
+from .common import components, drop, lean, stored
 
 TREES, DEPTH, VALUES = 20, 6, 128
 #: Rows of a block; a task holds two blocks at most.
@@ -26,6 +29,8 @@ _MUL = _R.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint
 _ADD = _R.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 6_000_000
+#: One text in so many, by hash, gets so many planted partners; with fewer partners than AUDITED the formula decides.
+AUDIT, PARTNERS, AUDITED = 64, 4, 1000
 
 
 def shingled(texts, n: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,18 +101,61 @@ def _hash(text: str | None) -> bytes | None:
     return None if text is None else hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
 
-def _signed(batches):
-    import pyarrow as pa
+def partner(shingles: np.ndarray, similarity: float, draw: np.random.Generator) -> np.ndarray:
+    """A set whose Jaccard similarity to the given distinct shingles is the one asked for, or just above it."""
+    n = len(shingles)
+    out = int(n * (1 - similarity) / (1 + similarity))
+    return np.concatenate([draw.permutation(shingles)[out:], draw.integers(0, 1 << 63, out, dtype=np.uint64)])
 
-    for b in batches:
-        texts, sigs = b.column(1), []
-        for h, count in shingled(texts):
-            rows = iter(signatures(h, count))
-            sigs += [next(rows).tobytes() if c else None for c in count.tolist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_hash, texts.to_pylist()), pa.binary()), pa.array(sigs, pa.binary()), pa.array([s and np.frombuffer(s, "<u4").astype(np.uint8).tobytes() for s in sigs], pa.binary())], ["doc_id", "text_hash", "sig", "sketch"])
+
+def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest prefix, over all trees, that each signature of b shares with a."""
+    same = (a[None, : TREES * DEPTH] == b[:, : TREES * DEPTH]).reshape(len(b), TREES, DEPTH)
+    return np.cumprod(same, axis=2).sum(axis=2).max(axis=1)
+
+
+def _signed(threshold: float) -> Callable:
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts, sigs, audits = b.column(1), [], []
+            hashes = list(map(_hash, texts.to_pylist()))
+            for h, count in shingled(texts):
+                rows, ends = iter(signatures(h, count)), np.cumsum(count)
+                for c, e in zip(count.tolist(), ends.tolist(), strict=True):
+                    own, sure = next(rows) if c else None, None
+                    at = hashes[len(sigs)]
+                    if c >= 10 and int.from_bytes(at[:4], "big") % AUDIT == 0:
+                        draw, distinct = np.random.default_rng(int.from_bytes(at[4:8], "big")), np.unique(h[e - c : e])
+                        made = [partner(distinct, threshold, draw) for _ in range(PARTNERS)]
+                        sure = met(own, signatures(np.concatenate(made), np.array([len(x) for x in made]))).tolist()
+                    sigs.append(own.tobytes() if c else None)
+                    audits.append(sure)
+            sketch = [s and np.frombuffer(s, "<u4").astype(np.uint8).tobytes() for s in sigs]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketch, pa.binary()), pa.array(audits, pa.list_(pa.int32()))], ["doc_id", "text_hash", "sig", "sketch", "met"])
+
+    return run
 
 
-def _prefixes(depth: int) -> Callable:
+def audited_depth(signed: DataFrame, threshold: float, target: float) -> tuple[int, float]:
+    """(the longest prefix at which the target share of planted partners meets, that share as measured).
+
+    With too few partners for a measure, the depth comes from the formula and the share is its value.
+    """
+    seen = {r[0]: r[1] for r in signed.select(F.explode("met").alias("met")).groupBy("met").agg(F.count("*")).collect()}
+    n = sum(seen.values())
+    if n < AUDITED:
+        depth = first_depth(threshold, target)
+        return depth, float(recall_at(threshold, depth))
+    share = {d: sum(v for k, v in seen.items() if k >= d) / n for d in range(1, DEPTH + 1)}
+    depth = next((d for d in range(DEPTH, 1, -1) if share[d] >= target), 1)
+    return depth, share[depth]
+
+
+def _prefixes(shortest: int) -> Callable:
+    """Rows of the tries: key, the node of the shortest prefix; tail, two values that follow it; text_hash."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -117,11 +165,13 @@ def _prefixes(depth: int) -> Callable:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u4").reshape(-1, VALUES)[:, : TREES * DEPTH].reshape(-1, TREES, DEPTH).astype(np.uint64)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sig.shape[:2]).copy()
-                for k in range(depth):
+                for k in range(shortest):
                     key = (key ^ (key >> np.uint64(31))) * _P + sig[:, :, k]
                 key = (key ^ (key >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+            after = [sig[:, :, k] if k < DEPTH else np.zeros(sig.shape[:2], np.uint64) for k in (shortest, shortest + 1)]
+            tail = (after[0] << np.uint64(32)) | after[1]
             hashes = b.column("text_hash").take(pa.array(np.repeat(np.arange(b.num_rows), TREES)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).reshape(-1)), hashes], ["key", "text_hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).reshape(-1)), pa.array(tail.view(np.int64).reshape(-1)), hashes], ["key", "tail", "text_hash"])
 
     return run
 
@@ -184,8 +234,12 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _alike(least: float) -> Callable:
-    """Compares the sketches of each group's rows; hands on a spanning forest of the pairs that look alike."""
+def _alike(least: float, shortest: int, sure: int) -> Callable:
+    """Compares the sketches of each node's rows; hands on a spanning forest of the pairs that look alike.
+
+    Rows come sorted by their values, so a node is a trie. Pairs that share `sure` values or more are compared, and
+    those that share fewer only in nodes where a pair that shares no more than `sure` looks alike.
+    """
     keys = ("key", "i", "j")
 
     def run(batches):
@@ -195,22 +249,34 @@ def _alike(least: float) -> Callable:
             starts = group_starts(t, keys)
             sizes = np.diff(starts)
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, VALUES)
-            block = t.column("block").to_numpy()
+            block, tail = t.column("block").to_numpy(), t.column("tail").to_numpy()
             across = t.column("i").to_numpy() != t.column("j").to_numpy()
             left, right = [], []
+
+            def compared(a, b):
+                same = (sketch[a] == sketch[b]).sum(1) >= least * VALUES  # noqa: B023
+                left.append(a[same])  # noqa: B023
+                right.append(b[same])  # noqa: B023
+                return same
+
             for s in np.unique(sizes[sizes > 1]):
                 pair = np.triu_indices(s, 1)
                 at = starts[:-1][sizes == s]
                 step = max(1, 100_000 // len(pair[0]))
                 for g in range(0, len(at), step):
+                    last, rest = np.zeros(len(at[g : g + step]), dtype=bool), []
                     for p in range(0, len(pair[0]), 200_000):
                         a = (at[g : g + step, None] + pair[0][p : p + 200_000]).reshape(-1)
                         b = (at[g : g + step, None] + pair[1][p : p + 200_000]).reshape(-1)
+                        of = np.repeat(np.arange(len(last)), len(pair[0][p : p + 200_000]))
+                        shared = shortest + (tail[a] >> 32 == tail[b] >> 32) + (tail[a] == tail[b])
                         own = ~across[a] | (block[a] != block[b])
-                        a, b = a[own], b[own]
-                        same = (sketch[a] == sketch[b]).sum(1) >= least * VALUES
-                        left.append(a[same])
-                        right.append(b[same])
+                        deep = own & (shared >= sure)
+                        same = compared(a[deep], b[deep])
+                        last[of[deep][same & (shared[deep] == sure)]] = True
+                        rest.append((a[own & ~deep], b[own & ~deep], of[own & ~deep]))
+                    for a, b, of in rest:
+                        compared(a[last[of]], b[last[of]])
             label = spanning(t.num_rows, np.concatenate(left or [[]]).astype(np.int64), np.concatenate(right or [[]]).astype(np.int64))
             moved = np.flatnonzero(label != np.arange(t.num_rows))
             h = t.column("text_hash")
@@ -249,7 +315,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _verified(per_mille: int, depth: int) -> Callable:
+def _verified(per_mille: int) -> Callable:
     keys = ("root", "i", "j")
 
     def run(batches):
@@ -260,7 +326,7 @@ def _verified(per_mille: int, depth: int) -> Callable:
             raw = t.column("shingles").to_pylist()
             block = t.column("block").to_numpy()
             across = t.column("i").to_numpy() != t.column("j").to_numpy()
-            links, weight, label = np.zeros(t.num_rows, dtype=np.int64), np.zeros(t.num_rows), np.arange(t.num_rows)
+            links, label = np.zeros(t.num_rows, dtype=np.int64), np.arange(t.num_rows)
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 if e - s < 2:
                     continue
@@ -275,18 +341,16 @@ def _verified(per_mille: int, depth: int) -> Callable:
                 links[s:e] = near.sum(1)
                 a, b = np.nonzero(np.triu(near))
                 if len(a):
-                    w = 1 / recall_at(both[a, b] / union[a, b], depth)
-                    np.add.at(weight, s + a, w)
                     label[s:e] = s + spanning(e - s, a, b)
             some = pa.array(np.flatnonzero(links))
             h = t.column("text_hash")
-            out = pa.table({"text_hash": h.take(some), "to": h.take(pa.array(label)).take(some), "links": pa.array(links).take(some), "weight": pa.array(weight).take(some)})
+            out = pa.table({"text_hash": h.take(some), "to": h.take(pa.array(label)).take(some), "links": pa.array(links).take(some)})
             yield from out.to_batches()
 
     return run
 
 
-def _blocked(rows: DataFrame, key: str, most: int) -> DataFrame:
+def _blocked(rows: DataFrame, key: str, most: int, *then: str) -> DataFrame:
     """Deals rows of a key with `n` rows to pairs (i <= j) of blocks of about `most` rows, sorted within partitions."""
     nb = F.ceil(F.col("n") / F.lit(most)).cast("int")
     block = F.pmod(F.xxhash64("text_hash"), nb).cast("int")
@@ -294,7 +358,7 @@ def _blocked(rows: DataFrame, key: str, most: int) -> DataFrame:
     out = rows.withColumn("nb", nb).withColumn("block", block).withColumn("other", other)
     # with several blocks, a block is compared with itself once, inside the pairs (b, b)
     out = out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("nb", "other")
-    return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return out.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *then)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -309,37 +373,33 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999,
     doc_ids are null or repeat, and null for what stands alone. An empty table gives an empty table.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(own.mapInArrow(_signed, "doc_id long, text_hash binary, sig binary, sketch binary"), "signatures")
+    signed = stored(own.mapInArrow(lean(_signed(threshold)), "doc_id long, text_hash binary, sig binary, sketch binary, met array<int>"), "signatures")
     reps = stored(signed.where("sig is not null").groupBy("text_hash").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
     per_mille = round(threshold * 1000)
     least = max(0.0, threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / VALUES))
-    depth = first_depth(threshold, target)
-    while True:
-        nodes = stored(reps.select("sig", "text_hash").mapInArrow(_prefixes(depth), "key long, text_hash binary"), "nodes")
-        full = stored(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")
-        # merge joins, so that the plan is the same at every size
-        near = nodes.join(full.hint("merge"), "key").join(reps.select("text_hash", "sketch").hint("merge"), "text_hash")
-        edges = stored(_blocked(near, "key", BLOCK).select("key", "i", "j", "block", "text_hash", "sketch").mapInArrow(_alike(least), "a binary, b binary").distinct(), "candidates")
-        drop(nodes, full)
-        parts = stored(components(edges), "candidate-parts")
-        sized = parts.groupBy("root").agg(F.count("*").alias("n"))
-        wanted = stored(parts.join(sized, "root").select("root", "n", F.col("node").alias("text_hash")).join(reps.select("text_hash", "rep"), "text_hash"), "wanted")
-        texts = own.withColumn("own", F.unhex(F.md5("text")))
-        chosen = texts.join(wanted.hint("merge"), (texts["own"] == wanted["text_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("root", "n", "text_hash", "text")
-        sets = chosen.mapInArrow(_sets, "root binary, n long, text_hash binary, shingles binary").dropDuplicates(["text_hash"])
-        ready = _blocked(sets, "root", SET_BLOCK).select("root", "i", "j", "block", "text_hash", "shingles")
-        found = stored(ready.mapInArrow(_verified(per_mille, depth), "text_hash binary, to binary, links long, weight double"), "links")
-        drop(edges, parts, wanted)
-        n, expected = found.agg(F.coalesce(F.sum("links") / 2, F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-        if depth == 1 or n >= target * expected:
-            break
-        depth -= 1
-        drop(found)
+    sure, _ = audited_depth(signed, threshold, target)
+    shortest = max(1, sure - 1)
+    nodes = stored(reps.select("sig", "text_hash").mapInArrow(_prefixes(shortest), "key long, tail long, text_hash binary"), "nodes")
+    full = stored(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    # merge joins, so that the plan is the same at every size
+    near = nodes.join(full.hint("merge"), "key").join(reps.select("text_hash", "sketch").hint("merge"), "text_hash")
+    tries = _blocked(near, "key", BLOCK, "tail").select("key", "i", "j", "block", "tail", "text_hash", "sketch")
+    edges = stored(tries.mapInArrow(lean(_alike(least, shortest, sure)), "a binary, b binary").distinct(), "candidates")
+    drop(nodes, full)
+    parts = stored(components(edges), "candidate-parts")
+    sized = stored(parts.groupBy("root").agg(F.count("*").alias("n")), "part-sizes")
+    wanted = stored(parts.join(sized, "root").select("root", "n", F.col("node").alias("text_hash")).join(reps.select("text_hash", "rep"), "text_hash"), "wanted")
+    texts = own.withColumn("own", F.unhex(F.md5("text")))
+    chosen = texts.join(wanted.hint("merge"), (texts["own"] == wanted["text_hash"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("root", "n", "text_hash", "text")
+    sets = chosen.mapInArrow(lean(_sets), "root binary, n long, text_hash binary, shingles binary").dropDuplicates(["text_hash"])
+    ready = _blocked(sets, "root", SET_BLOCK).select("root", "i", "j", "block", "text_hash", "shingles")
+    found = stored(ready.mapInArrow(lean(_verified(per_mille)), "text_hash binary, to binary, links long"), "links")
+    drop(edges, parts, sized, wanted)
     classes = components(found.select(F.col("text_hash").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("text_hash"), "root")
     links = found.groupBy("text_hash").agg(F.sum("links").alias("n_links"))
     placed = reps.select("text_hash", "rep", "n_copies").join(links, "text_hash", "left").join(classes, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     placed = stored(placed, "placed")
-    ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
+    ids = stored(placed.groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids")
     of = stored(placed.join(ids, "root").select(F.col("text_hash").alias("h"), "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
     rows = signed.select("doc_id", "text_hash", F.when(F.col("sig").isNotNull(), F.col("text_hash")).alias("k"))
     out = rows.join(of, F.col("k") == F.col("h"), "left")
