@@ -291,7 +291,7 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, shard_rows: int = 2
     roots = components(found.select(F.col("key").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("key"), "root")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     placed = stored(nodes.select("key", "copies", "rep").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
-    least_id = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least_id = stored(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least-ids")
     of = stored(placed.join(least_id, "root").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "components")
     out = ids.join(of, "key", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
