@@ -15,7 +15,7 @@ from tessera.llm.jaccard import drop_near_duplicates
 from tessera.llm.packing import packed_documents
 from tessera.llm.queries import vocabulary
 from tessera.llm.secrets import redacted, scan
-from tessera.llm.substring import dedup_substrings
+from tessera.llm.substring import PASSAGES, dedup_substrings
 from tessera.llm.toxicity import drop_toxic, grades_of, train
 
 
@@ -36,9 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later occurrences of lines of any length; one that loses all its lines stays, with an empty text."""
-    return _counted(dedup_substrings(docs, min_words=1), docs)
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of repeated passages; one that loses all its text stays, with an empty one."""
+    # a column of the input by the name _removed stays as it is
+    found = dedup_substrings(docs.withColumnRenamed("_removed", "__kept_removed"), **PASSAGES)
+    return _counted(found.drop("_removed").withColumnRenamed("__kept_removed", "_removed"), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_lines", repeated_lines), ("secrets", secrets), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secrets", secrets), ("packing", packing)]
 
 #: MinHash candidates, the fitted model and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
