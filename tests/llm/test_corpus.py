@@ -103,6 +103,28 @@ def test_packing(spark, docs, rows, empty):
         bins.place(11)
 
 
+def test_packing_closes_bins_and_stays_near_the_bound(spark):
+    from tessera.llm.packing import Bins, pack
+
+    r = np.random.default_rng(9)
+    lengths = np.minimum(2048, r.lognormal(5.5, 1.0, 30_000).astype(int) + 1).tolist()
+    bins = Bins(2048, 16)
+    assert all(bins.place(n)[0] < bins.made and bins.open <= 16 for n in lengths)
+    assert bins.made > 16 + len([n for n in lengths if n == 2048])
+    rows = [(i % 500 or None, 0, 0, n, 7, "x") for i, n in enumerate(lengths)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, offset string").repartition(4)
+    for most, over in ((1024, 1.003), (64, 1.2)):
+        got = pack(table, open_bins=most).collect()
+        assert len(got) == len(rows) and got[0].__fields__[-2:] == ["sequence_id", "offset"]
+        ends = Counter()
+        for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+            assert x.offset == ends[x.sequence_id]
+            ends[x.sequence_id] += x.length
+        assert max(ends.values()) <= 2048 and math.ceil(sum(lengths) / 2048) <= len(ends) <= over * sum(lengths) / 2048 + 1
+    same = spark.createDataFrame([(None, 0, 0, 1, 5)] * 3000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert len({x.sequence_id for x in pack(same, shard_tokens=600).collect()}) == 5
+
+
 def test_token_counts(docs, rows, empty):
     from tessera.llm.tokenfiles import token_counts
 
@@ -181,13 +203,72 @@ def test_substring_dedup(docs, rows, empty):
     assert dedup_substrings(empty).collect() == []
 
 
-def test_pipeline_drops_repeated_lines_of_any_length(spark):
+def brute_runs(rows, min_words=4, min_run=30):
+    """{(doc_id, text): (spans, text left)} by walking through all sentences in rank order."""
+    from tessera.llm.substring import normal
+
+    seen, out = set(), {}
+    for d, t in sorted({(r[0], r[1]) for r in rows}, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest())):
+        units, at = [], 0
+        if not t:
+            out[d, t] = [], t
+            continue
+        for m in re.finditer(r"\n|[.!?][ \t]+|[。！？]|\Z", t):
+            n = normal(t[at : m.end()])
+            units.append((at, m.end(), n, max(len(n.split(" ")), len(n) // 10) if n else 0))
+            at = m.end()
+        run, spans = [], []
+        for a, z, n, words in [*(u for u in units if u[3] >= min_words), (0, 0, None, 0)]:
+            if n is not None and n in seen:
+                run.append((a, z, words))
+                continue
+            if sum(x[2] for x in run) >= min_run:
+                spans.append((run[0][0], run[-1][1]))
+            run = []
+            seen.add(n)
+        left = "".join(t[a:z] for a, z in zip([0] + [z for _, z in spans], [a for a, _ in spans] + [len(t)]))
+        out[d, t] = spans, re.sub(r"(\n|[ \t]+)\Z", "", left) if spans and spans[-1][1] == len(t) else left
+    return out
+
+
+def test_runs_of_sentences(spark, docs, rows, empty):
+    from tessera.llm.substring import PASSAGES, dedup_substrings
+
+    r = random.Random(11)
+    sentence = lambda n=9: prose(n).capitalize() + r.choice([". ", ".\n", "! ", ".\n\n", ".  "])
+    passages = ["".join(sentence() for _ in range(6)) for _ in range(4)] + ["한국어。" + "".join(chr(0x4E00 + i) for i in range(400)) + "。"]
+    footer = "All rights reserved by the people of it.\n"
+    own = [(i, prose(5) + " " + r.choice(passages) + prose(4) + " end. " + sentence() + r.choice(["", footer, passages[0]]), None) for i in range(40)]
+    own += [(None, own[3][1], None), own[4], (7, passages[1], None), (50, None, None), (51, "", None), (52, passages[2], None), (53, "Cafe\u0301 " + passages[3], None)]
+    table = spark.createDataFrame(own, "doc_id long, text string, _removed string").repartition(5)
+    got = {(x.text_in, x.doc_id): ([tuple(s) for s in x._removed], x.text) for x in dedup_substrings(table.selectExpr("*", "text AS text_in"), **PASSAGES).collect()}
+    want = brute_runs(own)
+    assert {(d, t): v for (t, d), v in got.items()} == want
+    assert sum(bool(v[0]) for v in want.values()) >= 30 and not any(footer in t[a:z] and z - a < 100 for (d, t), (spans, _) in want.items() for a, z in spans)
+    assert dedup_substrings(table, **PASSAGES).count() == len(own)
+    assert {(x.doc_id, x.key, x.text) for x in dedup_substrings(docs, **PASSAGES).collect()} == {(d, k, brute_runs(rows)[d, t][1]) for d, t, _, _, k, *_ in rows}
+    assert dedup_substrings(empty, **PASSAGES).collect() == []
+
+
+def test_paragraphs_and_offsets(spark):
+    from tessera.llm.substring import dedup_substrings
+
+    a, b = prose(12) + "\n" + prose(3), prose(9)
+    rows = [(1, f"{a}\n\n{b}"), (2, f"{prose(6)}\n \n{a.upper()}\n\n\n{b}"), (3, b)]
+    got = {x.doc_id: (x._removed, x.text) for x in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), unit="paragraph").collect()}
+    assert got[1] == ([], rows[0][1])
+    first = rows[1][1].index("\n \n") + 3
+    assert [tuple(s) for s in got[2][0]] == [(first, first + len(a) + 3), (first + len(a) + 3, len(rows[1][1]))]
+    assert got[2][1] == rows[1][1][: first - 1] and got[3][1] == ""
+
+
+def test_pipeline_cuts_repeated_passages_and_leaves_footers(spark):
     import corpus_pipeline as cp
 
     passage = "".join(chr(0x4E00 + i) for i in range(300))
     rows = [(1, f"one\n{passage}\nall rights reserved.", 0), (2, f"two\n{passage}\n\nAll  rights reserved.", 0), (3, "one", 0), (4, None, None)]
-    got = {r.doc_id: (r.text, r.n_chars) for r in cp.repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()}
-    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("two\n", 4), 3: ("", 0), 4: (None, None)}
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("two\n\nAll  rights reserved.", 26), 3: ("one", 3), 4: (None, None)}
 
 
 def test_quality_measures_and_order(spark, docs, rows, empty):
@@ -352,6 +433,37 @@ def test_jaccard_blocks_of_a_large_group(spark, monkeypatch):
     assert [r.n_links for r in sorted(got)] == want and {r.class_id for r in got} == {0}
 
 
+def test_forest_shortens_until_planted_partners_meet(spark, monkeypatch):
+    from tessera.llm import jaccard
+
+    draw = np.random.default_rng(1)
+    own = draw.integers(0, 1 << 63, 180, dtype=np.uint64)
+    for similarity in (0.5, 0.8):
+        other = jaccard.partner(own, similarity, draw)
+        both = len(np.intersect1d(own, other))
+        assert similarity <= both / (len(own) + len(other) - both) < similarity + 0.02
+    sig = jaccard.signatures(np.concatenate([own, own, other]), np.array([180, 180, len(other)]))
+    assert jaccard.met(sig[0], sig[1:]).tolist()[0] == jaccard.DEPTH
+
+    def signed(shares):
+        return spark.createDataFrame([([d] * n,) for d, n in shares.items()], "met array<int>")
+
+    assert jaccard.audited_depth(signed({6: 999, 2: 1}), 0.8, 0.999) == (6, 0.999)
+    assert jaccard.audited_depth(signed({6: 900, 5: 80, 4: 20}), 0.8, 0.99) == (4, 1.0)
+    assert jaccard.audited_depth(signed({6: 500, 1: 200, 0: 400}), 0.8, 0.99)[0] == 1
+    assert jaccard.audited_depth(signed({6: 10}), 0.8, 0.999)[0] == jaccard.first_depth(0.8, 0.999) == 5
+    monkeypatch.setattr(jaccard, "AUDIT", 1)
+    texts = [prose(40) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), *((300 + i, t + " end") for i, t in enumerate(texts))], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == {i: (i % 300, 1) for i in range(600)}
+    # a node goes one value further where its last step met texts that look alike
+    rows = [(1, 0, 0, 0, v << 32 | w, h, s) for v, w, h, s in ((7, 1, b"a", 1), (7, 2, b"b", 1), (8, 1, b"c", 1), (9, 1, b"d", 2))] + [(2, 0, 0, 0, v << 32, h, 1) for v, h in ((1, b"e"), (2, b"f"))]
+    table = spark.createDataFrame([(*r[:6], bytes([r[6]]) * jaccard.VALUES) for r in rows], "key long, i int, j int, block int, tail long, text_hash binary, sketch binary").coalesce(1)
+    edges = table.mapInArrow(jaccard._alike(0.6, 4, 5), "a binary, b binary").collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in edges} == {(b"b", b"a"), (b"c", b"a")}
+
+
 def test_embeddings(spark):
     from tessera.llm.neardup import Graph, link_embeddings, unit
 
@@ -412,6 +524,50 @@ def test_toxicity_on_held_out_rows(spark):
     assert severity(docs, train(docs, grades_of(labels.limit(0)))).where("toxic").count() == 0
 
 
+def test_toxicity_of_repeated_ids_long_texts_and_ties(spark):
+    from tessera.llm.toxicity import BUCKETS, drop_toxic, features, fit, severity, train
+
+    texts = [(i, prose(20) + (" vile" if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (5, "another text of that id"), (5, None), (61, "vile " * 200_000), (None, "vile"), (62, None), (63, " \n#")], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i, _ in texts] + [(4, 0), (7, 0), (999, 1)], "doc_id long, grade int")
+    one, two = train(docs, grades), train(docs.repartition(4), grades.repartition(3))
+    assert (one.numbers == two.numbers).all() and np.allclose(one.weights, two.weights)
+    got = severity(docs, one).collect()
+    assert {r.doc_id for r in got if r.toxic} >= {61, None} and not any(r.toxic or r.severity for r in got if r.doc_id in (62, 63))
+    assert drop_toxic(docs, one).where("doc_id IN (62, 63)").count() == 2
+    # a tie of grades: features that say nothing leave the base rates
+    same = fit([features("a b")] * 40, np.array([0, 1] * 20))
+    assert abs(same.above(same.score("a b"))[0] - 0.5) < 1e-3
+    # all toxic: texts without a word stay all the same
+    bad = train(docs, spark.createDataFrame([(i, 1) for i, _ in texts], "doc_id long, grade int"))
+    assert {r.doc_id for r in drop_toxic(docs, bad).collect()} == {5, 62, 63}
+    assert len(features("vile " * 1000)) < BUCKETS
+
+
+def test_ordinal_fit_against_plain_gradient_descent():
+    from tessera.llm.toxicity import fit
+
+    r = np.random.default_rng(4)
+    rows = [np.flatnonzero(r.random(6) < 0.5) for _ in range(400)]
+    w = np.array([2.0, -1.0, 0.5, 0.0, 1.5, -2.0])
+    y = np.array([int(s > -0.3) + int(s > 1.2) for s in (w[x].sum() + r.logistic() for x in rows)])
+    got = fit(rows, y, l1=0.0, l2=1e-2, steps=4000)
+    x = np.array([[k in a for k in range(6)] for a in map(set, rows)], dtype=float)
+
+    def loss(p):
+        s, t = x @ p[:6], np.array([p[6], p[6] + np.exp(p[7])])
+        c = np.concatenate([np.zeros((400, 1)), 1 / (1 + np.exp(-(t[None, :] - s[:, None]))), np.ones((400, 1))], axis=1)
+        return -np.log(c[np.arange(400), y + 1] - c[np.arange(400), y]).mean() + 0.5e-2 * (p[:6] ** 2).sum()
+
+    p = np.zeros(8)
+    for _ in range(1500):
+        g = np.array([(loss(p + 1e-5 * e) - loss(p - 1e-5 * e)) / 2e-5 for e in np.eye(8)])
+        p -= 0.8 * g
+    mine = np.zeros(6)
+    mine[got.numbers] = got.weights
+    assert np.allclose(mine, p[:6], atol=0.02) and np.allclose(got.thresholds, [p[6], p[6] + np.exp(p[7])], atol=0.02)
+
+
 def test_components(spark):
     from tessera.llm.common import components
 
@@ -425,7 +581,7 @@ def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
 
     docs, sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01"
-    assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "repeated_lines", "secrets", "packing"]
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "secrets", "packing"]
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     for name, stage in cp.STAGES[:-1]:
         before = docs.count()
