@@ -647,7 +647,7 @@ _FOUND = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in _FOUND if c != "oas3-api-servers") + ") AS t(code)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in _FOUND) + ") AS t(code)")
 def openapi_rules(spark, sf_dir):
     df = spark.createDataFrame([("api.json", json.dumps(_API))], "source string, text string")
     return L.lint(df, {"extends": [openapi_ruleset()]}).select("code")
@@ -659,7 +659,15 @@ def fix_convergence(spark, sf_dir):
     return L.fix(df, {"extends": [[openapi_ruleset(), "all"]]}).select("source", "passes", "converged")
 
 
-@query("SELECT * FROM (VALUES ('127.0.0.1', true), ('10.1.2.3', true), ('::1', true), ('example.com', false), ('8.8.8.8', false), ('localhost', true), ('::ffff:192.168.1.1', true)) AS t(host, private)")
+#: Hosts and whether they are private, by the ranges of the address registries.
+_HOSTS = {
+    "127.0.0.1": True, "10.1.2.3": True, "::1": True, "example.com": False, "8.8.8.8": False, "localhost": True, "::ffff:192.168.1.1": True, "2130706433": True, "0x7f000001": True, "127.1": True, "0177.0.0.1": True,
+    "metadata": True, "instance-data": True, "metadata.goog": True, "a.internal": True, "100.64.0.1": True, "100.128.0.1": False, "fec0::1": True, "fe80::1": True, "fd00::1": True, "::7f00:1": True, "64:ff9b::a00:1": True,
+    "2606:4700::1111": False, "192.0.0.8": True, "192.0.1.8": False, "198.19.0.1": True, "256.1.1.1": False, "1.2.3": False, "a.local": False, "255.255.255.255": True, "[::1]": True, "localhost.": True, "09.1.1.1": False,
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {str(p).lower()})" for h, p in _HOSTS.items()) + ") AS t(host, private)")
 def private_hosts(spark, sf_dir):
-    df = spark.createDataFrame([(h,) for h in ("127.0.0.1", "10.1.2.3", "::1", "example.com", "8.8.8.8", "localhost", "::ffff:192.168.1.1")], "host string")
+    df = spark.createDataFrame([(h,) for h in _HOSTS], "host string")
     return df.select("host", is_private_host(F.col("host")).alias("private"))

@@ -84,18 +84,19 @@ def openapi_document(title: str, version: str, routes: list[Route], schemas: dic
 
 def multipart_parts(body: bytes, boundary: str, most_parts: int = 1000, most_bytes: int = 10_000_000) -> list[dict]:
     """name, filename, content type and content of each part of a form; an unfinished body or a cap passed is an error."""
-    mark = b"--" + boundary.encode()
-    pieces = body.split(mark)
-    if len(pieces) < 2 or not pieces[-1].startswith(b"--"):
+    # a boundary stands at the beginning of a line that holds nothing else
+    pieces = re.split(rb"(?:\A|\r\n)--" + re.escape(boundary.encode()) + rb"(?=--|[ \t]*\r\n)", body)
+    last = next((i for i, p in enumerate(pieces) if i and p.startswith(b"--")), None)
+    if last is None:
         raise ValueError("the body is not finished")
-    if len(pieces) - 2 > most_parts or len(body) > most_bytes:
+    if last - 1 > most_parts or len(body) > most_bytes:
         raise ValueError("too many parts or bytes")
     out = []
-    for p in pieces[1:-1]:
-        head, _, content = p.removeprefix(b"\r\n").partition(b"\r\n\r\n")
+    for p in pieces[1:last]:
+        head, _, content = p.lstrip(b" \t").removeprefix(b"\r\n").partition(b"\r\n\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
         named = dict(re.findall(r'(\w+)="([^"]*)"', headers.get("content-disposition", "")))
-        out.append({"name": named.get("name", ""), "filename": named.get("filename"), "content_type": headers.get("content-type", "text/plain"), "content": content.removesuffix(b"\r\n")})
+        out.append({"name": named.get("name", ""), "filename": named.get("filename"), "content_type": headers.get("content-type", "text/plain"), "content": content})
     return out
 
 

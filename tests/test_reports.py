@@ -32,3 +32,23 @@ def test_reports(spark):
     assert [(p["name"], p["filename"], p["content"]) for p in multipart_parts(body, "B")] == [("f", "a.txt", b"hi"), ("g", None, b"1")]
     df = spark.createDataFrame([(1, bytearray(body), "B"), (2, bytearray(b"--B\r\n"), "B")], "i int, body binary, b string")
     assert [(r.i, r.name, bytes(r.content)) for r in form_parts(df, "body", "b", "i").collect()] == [(1, "f", b"hi"), (1, "g", b"1")]
+
+
+def test_boundaries_stand_at_the_beginning_of_a_line():
+    from tessera.sources.reports import multipart_parts
+
+    body = b'--B\r\nContent-Disposition: form-data; name="a"\r\n\r\nx --B y\r\n--Bz\r\n\r\n--B \r\nContent-Disposition: form-data; name="b"\r\n\r\n\r\n--B--\r\n'
+    assert [(p["name"], p["content"]) for p in multipart_parts(body, "B")] == [("a", b"x --B y\r\n--Bz\r\n"), ("b", b"")]
+
+
+def test_rules_see_absent_fields_and_primitives():
+    from tessera.operators.lint import _ABSENT, _fields, detect_formats, load_ruleset, run_rules
+    from tessera.operators.openapi import ruleset as openapi_ruleset
+
+    rules = load_ruleset({"extends": [openapi_ruleset()]})
+    info = {"title": "T", "version": "1", "contact": {"name": "x"}, "description": "d"}
+    for document, code, key in (({"openapi": "3.0.0", "info": info, "paths": {}}, "oas3-api-servers", "servers"), ({"swagger": "2.0", "info": info, "host": "api.test", "paths": {}}, "oas2-api-schemes", "schemes")):
+        found = lambda d: {c for c, *_ in run_rules(d, rules, detect_formats(d))}
+        assert code in found(document) and code in found({**document, key: []})
+        assert code not in found({**document, key: ["https"] if key == "schemes" else [{"url": "https://a.test"}]})
+    assert _fields("text", ("a",), "b") == [("text", ("a",), "a")] and _fields({}, ("a",), "b")[0][0] is _ABSENT
