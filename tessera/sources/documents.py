@@ -154,33 +154,44 @@ class Lines:
         return line, offset - self.starts[line]
 
 
-def yaml_nodes(text: str) -> list[list[Node]]:
-    """For each document of a YAML stream its values in document order, with places."""
+def yaml_nodes(text: str, repeated: list[tuple[int, str, int]] | None = None) -> list[list[Node]]:
+    """For each document of a YAML stream its values in document order, with places.
+
+    Of repeated keys of a mapping the last counts; document, message and offset of each are added to `repeated`. Values
+    under a merge key have no place of their own, but count against the limit on what aliases may expand to.
+    """
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML needs the yaml package") from e
     out = []
+    most = max(100_000, min(20_000_000, 100 * len(text)))
     for root in yaml.compose_all(text, Loader=yaml.SafeLoader):
         nodes: list[Node] = []
+        walked, seen = [0], set()
 
-        def walk(n, path: tuple, active: tuple, nodes=nodes):
+        def walk(n, path: tuple, active: tuple, nodes=nodes, walked=walked, seen=seen):
             if id(n) in active:
                 raise JsonProblem("an alias leads back to itself", n.start_mark.index)
-            if len(nodes) > max(100_000, min(20_000_000, 100 * len(text))):
+            walked[0] += 1
+            if walked[0] > most:
                 raise JsonProblem("aliases expand to too many nodes", n.start_mark.index)
             at = len(nodes)
             nodes.append(Node(path, "", None, n.start_mark.index, n.end_mark.index))
             if isinstance(n, yaml.MappingNode):
-                v, merged = {}, {}
+                v, merged, keys = {}, {}, set()
                 for k, x in n.value:
+                    key = str(scalar(k)) if isinstance(k, yaml.ScalarNode) else yaml.serialize(k).strip()
+                    if key in keys and id(k) not in seen and repeated is not None:
+                        repeated.append((len(out), f'Map key "{key}" is duplicated', k.start_mark.index))
+                    seen.add(id(k))
+                    keys.add(key)
                     if k.tag == "tag:yaml.org,2002:merge":
                         for y in x.value if isinstance(x, yaml.SequenceNode) else [x]:
                             hidden: list[Node] = []
                             got = walk(y, path, (*active, id(n)), hidden)
                             merged = {**got, **merged}
                         continue
-                    key = str(scalar(k)) if isinstance(k, yaml.ScalarNode) else yaml.serialize(k).strip()
                     v[key] = walk(x, (*path, key), (*active, id(n)), nodes)
                 kind, v = "object", {**merged, **v}
             elif isinstance(n, yaml.SequenceNode):
@@ -247,7 +258,7 @@ def node_table(df: DataFrame, source: str = "source", text: str = "text", kind:
 
 
 def problems(df: DataFrame, source: str = "source", text: str = "text", kind: str | None = None) -> DataFrame:
-    """A row for every text that cannot be read, and one for each duplicate key's place in JSON objects' texts."""
+    """A row for every text that cannot be read, and one for each repeated key of a YAML mapping."""
     return _parsed(df, source, text, kind, False)
 
 
@@ -264,8 +275,11 @@ def _parsed(df: DataFrame, source: str, text: str, kind: str | None, want_nodes:
                     continue
                 lines = Lines(t)
                 try:
-                    docs = [json_nodes(t)] if k == "json" else yaml_nodes(t)
-                    if want_nodes:
+                    repeated: list = []
+                    docs = [json_nodes(t)] if k == "json" else yaml_nodes(t, repeated)
+                    if not want_nodes:
+                        rows += [(src, d, "parser", message, *lines.at(at)) for d, message, at in repeated]
+                    else:
                         for d, nodes in enumerate(docs):
                             for n in nodes:
                                 value = None if n.kind in ("object", "array") else json.dumps(n.value, ensure_ascii=False)

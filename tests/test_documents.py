@@ -158,3 +158,15 @@ def test_streams(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert windowed_counts(events, "ts", "key").count() == 2
+
+
+def test_yaml_repeated_keys_and_merged_nodes_count(spark):
+    text = "a: 1\nb: &x {c: 1, c: 2}\nd: *x\n---\ne: 1\n'e': 2\n"
+    df = spark.createDataFrame([("y", text), ("fine", "a: {k: 1}\nb: {k: 1}\n")], "source string, text string")
+    got = [(r.source, r.doc_index, r.message, r.start_line, r.start_char) for r in problems(df, kind="yaml").collect()]
+    assert got == [("y", 0, 'Map key "c" is duplicated', 1, 13), ("y", 1, 'Map key "e" is duplicated', 5, 0)]
+    found = [(r.source, r.code, r.start_line) for r in L.lint(df, {"rules": {}}).collect()]
+    assert found == [("y", "parser", 1), ("y", "parser", 5)]
+    merged = "a0: &a0 {k: [x, x, x, x, x, x, x, x, x, x]}\n" + "".join(f"a{i}: &a{i} {{<<: *a{i - 1}, k{i}: [{', '.join(f'*a{i - 1}' for _ in range(9))}]}}\n" for i in range(1, 7))
+    bomb = spark.createDataFrame([("bomb", merged)], "source string, text string")
+    assert [r.message for r in problems(bomb, kind="yaml").collect()] == ["aliases expand to too many nodes"]
