@@ -170,3 +170,17 @@ def test_yaml_repeated_keys_and_merged_nodes_count(spark):
     merged = "a0: &a0 {k: [x, x, x, x, x, x, x, x, x, x]}\n" + "".join(f"a{i}: &a{i} {{<<: *a{i - 1}, k{i}: [{', '.join(f'*a{i - 1}' for _ in range(9))}]}}\n" for i in range(1, 7))
     bomb = spark.createDataFrame([("bomb", merged)], "source string, text string")
     assert [r.message for r in problems(bomb, kind="yaml").collect()] == ["aliases expand to too many nodes"]
+
+
+def test_fixers_of_queries_and_examples_lose_no_member():
+    from tessera.operators.lint import fix_document, load_ruleset
+
+    doc = {
+        "openapi": "3.1.0",
+        "paths": {"/x?a=1": {"get": {}}, "/x?b=2": {"put": {}}, "/y?": {}, "/y": {"get": {}}},
+        "components": {"schemas": {"A": {"type": "string", "example": "v"}, "B": {"type": "string", "example": 1, "examples": [2]}}},
+    }
+    rules = {"extends": [[ruleset(), "off"]], "rules": {"path-not-include-query": "warn", "oas3_1-schema-example-deprecated": "warn"}}
+    fixed, _, converged = fix_document(doc, load_ruleset(rules))
+    assert converged and fixed["paths"] == {"/x": {"get": {}}, "/x?b=2": {"put": {}}, "/y?": {}, "/y": {"get": {}}}
+    assert fixed["components"]["schemas"] == {"A": {"type": "string", "examples": ["v"]}, "B": {"type": "string", "example": 1, "examples": [2]}}
