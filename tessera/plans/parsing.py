@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def literal(x, dtype: T.DataType) -> Column:
     return F.lit(x).cast(dtype)
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is written into the plan once however often use refers to it."""
+    return F.element_at(F.transform(F.array(c), lambda x: use(x)), 1)
+
+
 class Parser:
     def __init__(self, cs: Compiled, case_insensitive: bool = False):
         self.cs, self.fold, self.compiler = cs, case_insensitive, cs.compiler()
@@ -52,7 +58,12 @@ class Parser:
         if isinstance(s.get("$ref"), str):
             target, own = self.registry.resolve(s["$ref"], base)
             return self._coerce(c, d, target, to, own)
-        default = literal(default_of(s, self.registry, base), to)
+        if isinstance(d, T.VariantType):  # taking a member out of JSON is long to write and to compute
+            return bound(c, lambda x: self._fitted(x, d, s, to, base))
+        return self._fitted(c, d, s, to, base)
+
+    def _fitted(self, c: Column, d: T.DataType, s: dict, to: T.DataType, base: str) -> Column:
+        default =literal(default_of(s, self.registry, base), to)
         view = View(c, d)
         if "const" in s:
             return literal(s["const"], to)
@@ -65,9 +76,15 @@ class Parser:
             text = F.when(column(view.is_("string")), view.string()).when(column(view.is_("number")), js_number_text(view.number())).when(column(view.is_("boolean")), view.string())
             return self._bounded(text, T.StringType(), s, base, default)
         if kind in ("number", "integer"):
-            n = F.when(column(view.is_("number")), view.number()).when(column(view.is_("boolean")), F.when(view.string() == "true", 1.0).otherwise(0.0)).when(column(view.is_("string")), js_number_from_text(view.string()))
-            n = F.when(~F.isnan(n) & (F.abs(n) < float("inf")) & ((n == F.floor(n)) if kind == "integer" else F.lit(True)), n)
-            own = self._bounded(n, T.DoubleType(), s, base, default.cast("double"))
+            textual = view.variant or isinstance(d, T.StringType)
+            from_text = bound(view.string(), js_number_from_text) if textual else F.lit(None).cast("double")
+            n = F.when(column(view.is_("number")), view.number()).when(column(view.is_("boolean")), F.when(view.string() == "true", 1.0).otherwise(0.0)).when(column(view.is_("string")), from_text)
+
+            def finite(n: Column) -> Column:
+                n = F.when(~F.isnan(n) & (F.abs(n) < float("inf")) & ((n == F.floor(n)) if kind == "integer" else F.lit(True)), n)
+                return self._bounded(n, T.DoubleType(), s, base, default.cast("double"))
+
+            own = bound(n, finite) if textual else finite(n)
             return own.try_cast(to) if kind == "integer" else own
         if kind == "boolean":
             return F.when(c.isNull(), F.lit(False)).when(column(view.is_("boolean")), view.string() == "true").when(column(view.is_("number")), (view.number() != 0) & ~F.isnan(view.number())).when(column(view.is_("string")), view.string() != "").otherwise(~column(view.nullable_null()))
@@ -110,9 +127,18 @@ class Parser:
             return F.coalesce(F.when(column(v.is_("object")), F.transform_values(m, lambda _, x: self._coerce(x, d, extra, to.valueType, base))), F.create_map().cast(to))
         if not isinstance(to, T.StructType):
             return self._plain(v, to)
+        if v.variant:
+            return bound(v.entries()[0], lambda m: self._members(View(m, T.MapType(T.StringType(), T.VariantType())), s, to, base))
+        return self._members(v, s, to, base)
+
+    def _members(self, v: View, s: dict, to: T.StructType, base: str) -> Column:
+        """The struct of the declared members; _extra, where the type has it, holds the others."""
         need, fields = set(s.get("required") or []), []
         for f in to.fields:
             if f.name == "_extra":
+                known = [g.name for g in to.fields if g.name != "_extra"]
+                others = F.lit(None) if v.struct else F.transform_values(F.map_filter(v.entries()[0], lambda k, _: ~k.isin(known)), lambda _, x: x.cast("variant"))
+                fields.append(others.cast(f.dataType).alias("_extra"))
                 continue
             sub = s["properties"].get(f.name, {}) if "properties" in s else {}
             m = v.member(f.name)

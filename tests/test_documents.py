@@ -184,3 +184,23 @@ def test_fixers_of_queries_and_examples_lose_no_member():
     fixed, _, converged = fix_document(doc, load_ruleset(rules))
     assert converged and fixed["paths"] == {"/x": {"get": {}}, "/x?b=2": {"put": {}}, "/y?": {}, "/y": {"get": {}}}
     assert fixed["components"]["schemas"] == {"A": {"type": "string", "examples": ["v"]}, "B": {"type": "string", "example": 1, "examples": [2]}}
+
+
+def test_rules_see_references_inlined_unless_they_ask_for_the_raw_document(spark):
+    from tessera.operators import openapi
+
+    api = {
+        "openapi": "3.1.0", "info": {"title": "x", "version": "1"}, "paths": {"/a/{id}": {"get": {"parameters": [{"$ref": "#/components/parameters/p"}], "responses": {"200": {"$ref": "#/components/responses/r"}}}}},
+        "components": {"parameters": {"p": {"name": "wrong", "in": "path", "required": True}}, "responses": {"r": {"content": {"x": {"schema": {"$ref": "#/components/schemas/s"}}}}}, "schemas": {"s": {"type": "object", "properties": {"n": {"$ref": "#/components/schemas/s"}}}}},
+    }
+    df = spark.createDataFrame([("a.json", json.dumps(api, indent=1)), ("none.json", None)], "source string, text string")
+    codes = lambda own: {r.code for r in L.lint(df, {"extends": [openapi.ruleset()]}, resolve_refs=own).collect()}
+    inlined, raw = codes(True), codes(False)
+    assert "path-params" in inlined and "oas3-unused-component" not in inlined | raw
+    rule = {"given": "$.paths..parameters[*]", "then": {"function": "pattern", "field": "name", "functionOptions": {"match": "^right$"}}}
+    got = L.lint(df, {"rules": {"named": rule, "as-it-is": {**rule, "resolved": False}}}).collect()
+    line = json.dumps(api, indent=1).split("\n").index('    "name": "wrong",')
+    assert [(r.code, r.path, r.start_line) for r in got] == [("named", "/paths/~1a~1{id}/get/parameters/0/name", line)]
+    wide = {"a0": {"x": 1}, **{f"a{i}": {"l": {"$ref": f"#/a{i - 1}"}, "r": {"$ref": f"#/a{i - 1}"}} for i in range(1, 40)}}
+    huge = spark.createDataFrame([("w.json", json.dumps(wide))], "source string, text string")
+    assert {r.code for r in L.lint(huge, {"rules": {"r": {"given": "$", "then": {"function": "defined", "field": "no"}}}}).collect()} == {"resolver", "r"}

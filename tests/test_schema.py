@@ -156,6 +156,20 @@ def test_parsers(spark):
     assert extended({"properties": {}}, {"": {"z": {}}})["properties"] == {"z": {}}
 
 
+def test_parsers_of_nested_json_compile_and_keep_open_members(spark):
+    point = {"type": "object", "properties": {"z": {"type": "number", "minimum": 2}}}
+    schema = {"type": "object", "properties": {"k": {"type": "integer"}, "o": {"type": "object", "properties": {"a": {"type": "integer"}, "p": point}, "additionalProperties": True}}}
+    df = spark.createDataFrame([('{"k":"3","o":{"a":2.0,"p":{"z":"0x10"},"q":[1]}}',), ('{"k":1.5,"o":{"p":{"z":1}}}',), ('{"o":[]}',), ("nope",), (None,)], "t string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # too large an expression fails
+    try:
+        got = [r.asDict() for r in parse(df, compile_schema(schema), "t").select("parsed.k", "parsed.o.a", "parsed.o.p.z", F.to_json("parsed.o._extra").alias("extra")).collect()]
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")
+    assert got[0] == {"k": 3, "a": 2, "z": 16.0, "extra": '{"q":[1]}'}
+    assert got[1]["k"] == 0 and got[1]["a"] is None and got[1]["z"] == 2.0 and got[1]["extra"] == "{}"
+    assert [r["z"] for r in got[2:]] == [None] * 3
+
+
 def test_types_defaults_and_examples():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "title": "A"}, "b": {"type": "array", "items": {"type": "number"}}, "c": {"$ref": "#/$defs/c"}, "d": {"enum": ["x", None]}, "e": {"x-type": {"primitive": "bigint"}}}, "$defs": {"c": {"type": "object", "properties": {"again": {"$ref": "#/$defs/c"}}}}}
     t = struct_type(schema)
