@@ -197,26 +197,38 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
+def planted(shard: np.ndarray, cosine: float, most: int) -> np.ndarray:
+    """Unit rows at that cosine from rows spread over the shard, one for each; the same for the same shard."""
+    x = shard[np.unique(np.linspace(0, len(shard) - 1, min(most, len(shard))).astype(np.int64))]
+    off = np.random.default_rng(11).normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    size = np.sqrt((off * off).sum(1, keepdims=True))
+    # in one dimension nothing stands off
+    return np.where(size > 1e-9, cosine * x + np.sqrt(1 - cosine * cosine) * off / np.maximum(size, 1e-9), x)
+
+
 def search(graph: Graph, shard: np.ndarray, queries: np.ndarray, least: float, target: float, audit: int) -> list[np.ndarray]:
     """For each query the rows of the shard with cosine >= least in double precision (both hold unit rows).
 
-    The beam doubles, and the slack grows, until the links found for `audit` queries spread over the block reach the
-    target share of those that brute force finds for them; a beam as wide as the shard finds all.
+    The beam doubles, and the slack grows, until the links found for the audited vectors reach the target share of those
+    that brute force finds for them; a beam as wide as the shard finds all. Audited are `audit` queries spread over the
+    block, and as many vectors made to stand just within the threshold of rows of the shard, so that each audit holds
+    links at the threshold which no vector has with itself.
     """
     some = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
-    true = (queries[some] @ shard.T >= least).sum()
-    small = queries.astype(np.float32)
+    probes = np.concatenate([queries[some], planted(shard, least + (1 - least) / 20, audit)])
+    true = (probes @ shard.T >= least).sum()
 
-    def links(i: int, ef: int, slack: float) -> np.ndarray:
+    def links(q: np.ndarray, ef: int, slack: float) -> np.ndarray:
         if ef >= len(shard):
-            return np.flatnonzero(shard @ queries[i] >= least)
-        rows = graph.within(small[i], least - 1e-4, ef, slack)
-        return rows[shard[rows] @ queries[i] >= least]
+            return np.flatnonzero(shard @ q >= least)
+        rows = graph.within(q.astype(np.float32), least - 1e-4, ef, slack)
+        return rows[shard[rows] @ q >= least]
 
     ef, slack = 24, 0.06
-    while sum(len(links(i, ef, slack)) for i in some.tolist()) < target * true and ef < len(shard):
+    while sum(len(links(q, ef, slack)) for q in probes) < target * true and ef < len(shard):
         ef, slack = min(2 * ef, len(shard)), 2 * slack
-    return [links(i, ef, slack) for i in range(len(queries))]
+    return [links(q, ef, slack) for q in queries]
 
 
 def link_embeddings(vectors: DataFrame, least: float = 0.98, shard_rows: int = 20_000, block: int = 5_000, target: float = 1.0, audit: int = 64, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
