@@ -118,6 +118,8 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None = None, dty
     """(doc_id, n_tokens): writes docs to flat files, then counts by scanning these alone.
 
     end_id is by default the first id that the tokenizer leaves free, as a special token's name may stand in a text.
+    Null and empty texts count 0. Rows that repeat a doc_id are counted each, a null doc_id stays null, other columns
+    are not read, whatever their names, and an empty table gives an empty table.
     """
     end_id = tokenizer_size(tokenizer) if end_id is None else end_id
     side = write_flat(docs, tokenizer, end_id, dtype)
@@ -128,6 +130,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None = None, dty
 # ---------------------------------------------------------------- ids in byte-aligned variable-length coding
 
 MAGIC = b"TSVB"
+FILES_A_GROUP = 4096
 #: For each control byte, the widths of its four values.
 _WIDTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.int64)
 
@@ -275,8 +278,12 @@ def read_ranked(files: DataFrame, folder: str) -> DataFrame:
                 crcs = [zlib.crc32(values[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=valid == 0), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # a prefix over groups of files, then over the files of a group, so that no task holds a row for each file
+    grouped = files.withColumn("group", F.floor(F.col("part") / FILES_A_GROUP))
+    earlier = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = grouped.groupBy("group").agg(F.sum("n_ids").alias("n")).select("group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = grouped.join(firsts, "group").select("path", (F.col("first") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("base"))
     return placed.repartition(max(1, files.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -290,7 +297,9 @@ def tokenizer_size(path: str) -> int:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, dtype: str = "<u2", ids_per_file: int = 4_000_000) -> DataFrame:
     """Encodes docs, writes files in ascending doc_id order and reads them back: (doc_id, start, n_tokens, ids_crc32).
 
-    Null and empty texts are documents of the end id alone. Rows of one doc_id keep the order of their input.
+    Null and empty texts are documents of the end id alone. Rows of one doc_id, null included, keep the order of their
+    input; null doc_ids come first. Other columns are not read, whatever their names, and an empty table gives an empty
+    table.
     """
     tokens = token_table(docs, tokenizer, end_id, dtype)
     folder = new_path(docs.sparkSession, "ids")

@@ -598,3 +598,28 @@ def test_pipeline_stage_by_stage(spark):
             assert all(r.n_chars == len(r.text) for r in docs.collect())
     packed = cp.packing(spark, docs, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_audits_hold_links_at_the_threshold():
+    from tessera.llm.neardup import Graph, planted, search, unit
+
+    x = unit(np.random.default_rng(5).normal(size=(600, 16)))
+    probes = planted(x, 0.981, 40)
+    assert len(probes) == 40 and np.allclose((probes * probes).sum(1), 1) and np.allclose((probes @ x.T).max(1), 0.981)
+    got = search(Graph(x.astype(np.float32)), x, probes, 0.98, 1.0, 64)
+    assert [sorted(r.tolist()) for r in got] == [np.flatnonzero(x @ q >= 0.98).tolist() for q in probes] and all(len(r) for r in got)
+    one = np.array([[1.0], [-1.0]])
+    assert (planted(one, 0.981, 40) == one).all()
+
+
+def test_starts_over_groups_of_files(spark, monkeypatch):
+    from tessera.llm import tokenfiles
+    from tessera.llm.queries import vocabulary
+
+    monkeypatch.setattr(tokenfiles, "FILES_A_GROUP", 2)
+    docs = spark.createDataFrame([(i, "a few words " * (i % 7), "x") for i in range(60)], "doc_id long, text string, start string")
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in tokenfiles.round_trip(docs, vocabulary("word_bpe_49k.json"), ids_per_file=100).collect())
+    at = 0
+    for i, (doc_id, start, n) in enumerate(got):
+        assert (doc_id, start) == (i, at)
+        at += n
