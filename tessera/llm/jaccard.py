@@ -2,8 +2,8 @@
 
 Every text has a MinHash signature, cut into trees of DEPTH values each. Texts sorted by a tree's values are a prefix
 trie: those with a common prefix lie side by side, and texts under one node are candidates. The longest prefixes match
-first. How short they must get is audited: a share of the texts gets partners planted at the threshold similarity, and
-prefixes shorten until the target share of these meet. Below that depth a node is shortened once more where the last
+first. How short they must get is audited: every text gets partners planted at the threshold similarity, and prefixes
+shorten until the target share of these meet. Below that depth a node is shortened once more where the last
 step still met texts that look alike. Nothing here grows with the square of a group on disk: a node's texts are
 compared by one-byte sketches in blocks inside tasks, which hand on only a spanning forest; the shingle sets of each
 candidate component are gathered once and compared in blocks, which hand on counts of links and again a spanning
@@ -29,8 +29,12 @@ _MUL = _R.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint
 _ADD = _R.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 6_000_000
-#: One text in so many, by hash, gets so many planted partners; with fewer partners than AUDITED the formula decides.
-AUDIT, PARTNERS, AUDITED = 64, 4, 1000
+#: Shingles hashed at once, few enough to stay in a core's cache.
+CACHED = 32_768
+#: One text in so many, which is every text, gets so many planted partners; they are signed for so many texts at once.
+AUDIT, PARTNERS, AUDIT_BLOCK = 1, 4, 200
+#: With fewer partners than this the formula decides.
+AUDITED = 1000
 
 
 def shingled(texts, n: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,16 +79,21 @@ def shingled(texts, n: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = to
 
 
-def signatures(h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(texts with shingles, VALUES) uint32: the least value of each of VALUES hash functions."""
+def signatures(h: np.ndarray, count: np.ndarray, values: int = VALUES) -> np.ndarray:
+    """(texts with shingles, values) uint32: the least value of each of the first `values` hash functions."""
     some = count[count > 0]
-    out = np.empty((VALUES, len(some)), dtype=np.uint32)
-    if len(some):
-        starts = np.cumsum(some) - some
+    ends, at = np.cumsum(some), 0
+    out = np.empty((len(some), values), dtype=np.uint32)
+    while at < len(some):
+        first = int(ends[at] - some[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + CACHED, "right")))
+        part, starts, least = h[first : ends[to - 1]], ends[at:to] - some[at:to] - first, np.empty((values, to - at), dtype=np.uint32)
         with np.errstate(over="ignore"):
-            for k in range(VALUES):
-                out[k] = np.minimum.reduceat(((h * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), starts)
-    return np.ascontiguousarray(out.T)
+            for k in range(values):
+                least[k] = np.minimum.reduceat(((part * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), starts)
+        out[at:to] = least.T
+        at = to
+    return out
 
 
 def recall_at(similarity, depth: int, trees: int = TREES):
@@ -101,17 +110,45 @@ def _hash(text: str | None) -> bytes | None:
     return None if text is None else hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
 
+def swaps(shingles: np.ndarray, similarity: float, draw: np.random.Generator, partners: int = PARTNERS) -> tuple[np.ndarray, np.ndarray]:
+    """(partners, r) of the given distinct shingles to take out, and (partners, a) others to put in.
+
+    The Jaccard similarity to what comes of it is the one asked for (three decimals), or just above it. Under four
+    shingles at 0.8 there is nothing to swap: no set but an equal one is that similar.
+    """
+    n, per_mille = len(shingles), round(similarity * 1000)
+    out = n * (1000 - per_mille) // (1000 + per_mille)
+    put = 1000 * (n - out) // per_mille - n
+    return draw.permuted(np.tile(shingles, (partners, 1)), axis=1)[:, :out], draw.integers(0, 1 << 63, (partners, put), dtype=np.uint64)
+
+
 def partner(shingles: np.ndarray, similarity: float, draw: np.random.Generator) -> np.ndarray:
     """A set whose Jaccard similarity to the given distinct shingles is the one asked for, or just above it."""
-    n = len(shingles)
-    out = int(n * (1 - similarity) / (1 + similarity))
-    return np.concatenate([draw.permutation(shingles)[out:], draw.integers(0, 1 << 63, out, dtype=np.uint64)])
+    out, put = swaps(shingles, similarity, draw, 1)
+    return np.concatenate([np.setdiff1d(shingles, out[0]), put[0]])
+
+
+def longest(same: np.ndarray) -> np.ndarray:
+    """The longest prefix, over all trees, of equal values in each row of `same`."""
+    return np.logical_and.accumulate(same.reshape(-1, TREES, DEPTH), axis=2).sum(axis=2).max(axis=1)
 
 
 def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The longest prefix, over all trees, that each signature of b shares with a."""
-    same = (a[None, : TREES * DEPTH] == b[:, : TREES * DEPTH]).reshape(len(b), TREES, DEPTH)
-    return np.cumprod(same, axis=2).sum(axis=2).max(axis=1)
+    return longest(a[None, : TREES * DEPTH] == b[:, : TREES * DEPTH])
+
+
+def planted(sigs: np.ndarray, sets: list[np.ndarray], threshold: float, seeds: list[int]) -> list[list[int] | None]:
+    """For each text, given its signature and distinct shingles, the prefixes that its planted partners share with it.
+
+    A partner has the text's value wherever neither a shingle taken out had it nor one put in is below it, so only
+    swapped shingles are hashed. None for a text with nothing to swap.
+    """
+    moved = [np.concatenate(swaps(x, threshold, np.random.default_rng(seed)), axis=1) for x, seed in zip(sets, seeds, strict=True)]
+    sizes = np.array([x.shape[1] for x in moved], dtype=np.int64)
+    least = signatures(np.concatenate([x.reshape(-1) for x in moved]), np.repeat(sizes, PARTNERS), TREES * DEPTH)
+    shared = iter(longest(least > np.repeat(sigs[sizes > 0, : TREES * DEPTH], PARTNERS, axis=0)).reshape(-1, PARTNERS).tolist())
+    return [next(shared) if n else None for n in sizes.tolist()]
 
 
 def _signed(threshold: float) -> Callable:
@@ -122,16 +159,19 @@ def _signed(threshold: float) -> Callable:
             texts, sigs, audits = b.column(1), [], []
             hashes = list(map(_hash, texts.to_pylist()))
             for h, count in shingled(texts):
-                rows, ends = iter(signatures(h, count)), np.cumsum(count)
-                for c, e in zip(count.tolist(), ends.tolist(), strict=True):
-                    own, sure = next(rows) if c else None, None
-                    at = hashes[len(sigs)]
-                    if c >= 10 and int.from_bytes(at[:4], "big") % AUDIT == 0:
-                        draw, distinct = np.random.default_rng(int.from_bytes(at[4:8], "big")), np.unique(h[e - c : e])
-                        made = [partner(distinct, threshold, draw) for _ in range(PARTNERS)]
-                        sure = met(own, signatures(np.concatenate(made), np.array([len(x) for x in made]))).tolist()
-                    sigs.append(own.tobytes() if c else None)
-                    audits.append(sure)
+                own, ends = signatures(h, count), np.cumsum(count)
+                worded, first = np.flatnonzero(count), len(sigs)
+                sigs += [None] * len(count)
+                audits += [None] * len(count)
+                for row, k in zip(own, worded.tolist(), strict=True):
+                    sigs[first + k] = row.tobytes()
+                sure = [j for j, k in enumerate(worded.tolist()) if int.from_bytes(hashes[first + k][:4], "big") % AUDIT == 0]
+                for at in range(0, len(sure), AUDIT_BLOCK):
+                    part = sure[at : at + AUDIT_BLOCK]
+                    sets = [np.unique(h[ends[k] - count[k] : ends[k]]) for k in worded[part].tolist()]
+                    seeds = [int.from_bytes(hashes[first + k][4:8], "big") for k in worded[part].tolist()]
+                    for j, shared in zip(part, planted(own[part], sets, threshold, seeds), strict=True):
+                        audits[first + int(worded[j])] = shared
             sketch = [s and np.frombuffer(s, "<u4").astype(np.uint8).tobytes() for s in sigs]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketch, pa.binary()), pa.array(audits, pa.list_(pa.int32()))], ["doc_id", "text_hash", "sig", "sketch", "met"])
 
@@ -141,7 +181,8 @@ def _signed(threshold: float) -> Callable:
 def audited_depth(signed: DataFrame, threshold: float, target: float) -> tuple[int, float]:
     """(the longest prefix at which the target share of planted partners meets, that share as measured).
 
-    With too few partners for a measure, the depth comes from the formula and the share is its value.
+    signed has a row for every different text, so none is left out of the measure and copies weigh no more. With too few
+    partners for one, the depth comes from the formula and the share is its value.
     """
     seen = {r[0]: r[1] for r in signed.select(F.explode("met").alias("met")).groupBy("met").agg(F.count("*")).collect()}
     n = sum(seen.values())
@@ -374,10 +415,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999,
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(own.mapInArrow(lean(_signed(threshold)), "doc_id long, text_hash binary, sig binary, sketch binary, met array<int>"), "signatures")
-    reps = stored(signed.where("sig is not null").groupBy("text_hash").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
+    reps = stored(signed.where("sig is not null").groupBy("text_hash").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("met").alias("met"), F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "texts")
     per_mille = round(threshold * 1000)
     least = max(0.0, threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / VALUES))
-    sure, _ = audited_depth(signed, threshold, target)
+    sure, _ = audited_depth(reps, threshold, target)
     shortest = max(1, sure - 1)
     nodes = stored(reps.select("sig", "text_hash").mapInArrow(_prefixes(shortest), "key long, tail long, text_hash binary"), "nodes")
     full = stored(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")

@@ -623,3 +623,28 @@ def test_starts_over_groups_of_files(spark, monkeypatch):
     for i, (doc_id, start, n) in enumerate(got):
         assert (doc_id, start) == (i, at)
         at += n
+
+
+def test_every_different_text_is_audited_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import jaccard
+
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, 10_000, n)) for n in draw.integers(8, 60, 300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(303)), "text": [*texts, None, " ", "a few words"]})
+    met = [x for b in jaccard._signed(0.8)(iter([batch])) for x in b.column("met").to_pylist()]
+    assert all(x is not None and len(x) == jaccard.PARTNERS for x in met[:300]) and met[300:] == [None] * 3
+    # only swapped shingles are hashed, which gives what whole partners would
+    sets = [np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (3, 4, 5, 9, 80, 400)]
+    sigs = jaccard.signatures(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for threshold in (0.5, 0.8):
+        for x, sig, got in zip(sets, sigs, jaccard.planted(sigs, sets, threshold, [9] * len(sets)), strict=True):
+            out, put = jaccard.swaps(x, threshold, np.random.default_rng(9))
+            whole = [np.concatenate([np.setdiff1d(x, o), p]) for o, p in zip(out, put, strict=True)]
+            assert got == (jaccard.met(sig, jaccard.signatures(np.concatenate(whole), np.array([len(w) for w in whole]))).tolist() if out.size + put.size else None)
+            assert threshold <= (len(x) - out.shape[1]) / (len(x) + put.shape[1])
+    seen, audited = [], jaccard.audited_depth
+    monkeypatch.setattr(jaccard, "audited_depth", lambda rows, *rest: seen.append(rows.where("met is not null").count()) or audited(rows, *rest))
+    rows = [*enumerate(texts[:20]), *((i, texts[0]) for i in range(20, 60))]
+    assert jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60 and seen == [20]
