@@ -23,6 +23,8 @@ _PLAIN = re.compile(f"[{re.escape(_SAFE)}]*")
 _WORDS = re.compile(f"[{_OF['L']}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_OF['N']}]|[^{_SPACE}{_OF['L']}{_OF['N']}]+|\n")
 #: Characters of text that are worked on at once.
 SLICE = 16_000_000
+#: Pieces whose ids are gathered at once.
+GATHER = 100_000
 
 
 class WordCoder:
@@ -84,13 +86,17 @@ class WordCoder:
 
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = parts.flatten().dictionary_encode()
-        blobs = self.pieces(coded.dictionary.to_pylist())
+        blobs = self.pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // self.dtype.itemsize
         index = coded.indices.to_numpy(zero_copy_only=False)
-        step = 400_000
-        raw = b"".join([b"".join(map(blobs.__getitem__, index[i : i + step].tolist())) for i in range(0, len(index), step)])
-        ids = np.frombuffer(raw, dtype=self.dtype)
-        ends = np.cumsum(size[index])
+        known, start, own = np.frombuffer(b"".join(blobs), dtype=self.dtype), np.cumsum(size) - size, size[index]
+        ends = np.cumsum(own)
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, dtype=self.dtype)
+        for i in range(0, len(index), GATHER):
+            n = own[i : i + GATHER]
+            first, last = int(ends[i] - n[0]), int(ends[i + len(n) - 1])
+            # the places in `known` of the ids of each piece, one after the other
+            ids[first:last] = known[np.repeat(start[index[i : i + GATHER]] - (ends[i : i + GATHER] - n), n) + np.arange(first, last)]
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         return ids, np.diff(np.concatenate([[0], ends])[offsets])
 

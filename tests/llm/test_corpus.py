@@ -648,3 +648,19 @@ def test_every_different_text_is_audited_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "audited_depth", lambda rows, *rest: seen.append(rows.where("met is not null").count()) or audited(rows, *rest))
     rows = [*enumerate(texts[:20]), *((i, texts[0]) for i in range(20, 60))]
     assert jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60 and seen == [20]
+
+
+def test_ids_are_gathered_in_steps_of_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import wordpiece
+
+    monkeypatch.setattr(wordpiece, "GATHER", 7)
+    draw, library = random.Random(8), Tokenizer.from_file(WORD)
+    alphabet = [chr(i) for i in range(0x180)] + list("ΣσςİŉǅéǺ̇  x") + ["<|endoftext|>", "​", "　", "한", "'S"]
+    texts = [None, "", "  "] + [" ".join("".join(draw.choices(alphabet, k=draw.randint(0, 9))) for _ in range(draw.randint(0, 20))) for _ in range(300)] + ["", None]
+    for dtype in ("<u2", "<u4"):
+        for table in (texts, ["", None], texts[5:6]):
+            own = list(wordpiece.WordCoder(WORD, dtype).batch(pa.array(table, pa.string())))
+            got = [x.tolist() for ids, n in own for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in table] and all(ids.dtype == dtype for ids, _ in own)
